@@ -4,7 +4,42 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import crc_mod, table
+
+
+def op2_bestfit(spark, sf_dir):
+    from tessera.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op3_subword(spark, sf_dir):
+    from tessera.llm.quality import THRESHOLD, fit_quality, score_quality
+
+    docs, held_out = table(spark, sf_dir, "documents").select("doc_id", "text"), crc_mod("doc_id", 4) == 2
+    scored = score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels"), ~held_out))
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def op4_wu_manber(spark, sf_dir):
+    from tessera.llm.decontaminate import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+
+
+def op5_bagminhash(spark, sf_dir):
+    from tessera.llm.near_dup import near_duplicates
+
+    out = near_duplicates(table(spark, sf_dir, "documents"))
+    return out.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+
+
+def op7_levenshtein(spark, sf_dir):
+    from tessera.llm.toxicity import THRESHOLD, fit_toxicity, score_toxicity
+
+    docs, held_out = table(spark, sf_dir, "documents").select("doc_id", "text"), crc_mod("doc_id", 3) == 1
+    scored = score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels"), ~held_out))
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def op8_interleave(spark, sf_dir):
@@ -19,7 +54,10 @@ def op9_warc(spark, sf_dir):
     return archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {"op8_interleave": op8_interleave, "op9_warc": op9_warc}
+QUERIES = {
+    f.__name__: f
+    for f in (op2_bestfit, op3_subword, op4_wu_manber, op5_bagminhash, op7_levenshtein, op8_interleave, op9_warc)
+}
 
 ORACLE_SQL = {
     "op9_warc": """

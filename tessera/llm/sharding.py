@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize
 
-ROWS_PER_BUCKET = 20_000
+ROWS_PER_BUCKET = 2_000
 
 
 def _ranked(df: DataFrame, group: list[str], bucket: str, order: list, name: str) -> DataFrame:
@@ -39,9 +39,9 @@ def interleave_shards(rows: DataFrame, n_shards: int = 16, stratum: str = "strat
     buckets = max(16, -(-total // ROWS_PER_BUCKET))
     rows = rows.withColumn("_s", F.coalesce(F.concat(F.lit("="), F.col(stratum).cast("string")), F.lit("")))
     sizes = rows.groupBy("_s").agg(F.count("*").alias("_size"))
-    rows = rows.withColumn("_b", F.pmod(F.shiftrightunsigned(key, 24), F.lit(1 << 40)))
-    rows = rows.withColumn("_b", F.floor(F.col("_b") / F.lit(float(1 << 40)) * buckets))
-    ranked = _ranked(rows, ["_s"], "_b", [key, *extra], "_rank").drop("_b").join(sizes, "_s")
+    own = F.ceil(F.col("_size") / ROWS_PER_BUCKET)
+    rows = rows.join(sizes, "_s").withColumn("_b", F.floor(F.shiftrightunsigned(key, 24) / F.lit(float(1 << 40)) * own))
+    ranked = _ranked(rows, ["_s"], "_b", [key, *extra], "_rank").drop("_b")
     ranked = ranked.withColumn("_part", (F.col("_rank") + F.lit(0.5)) / F.col("_size"))
     ranked = ranked.withColumn("_b", F.floor(F.col("_part") * buckets)).withColumn("_all", F.lit(0))
     placed = _ranked(ranked, ["_all"], "_b", ["_part", "_s", key, *extra], "_at")
