@@ -14,7 +14,7 @@ from tessera.llm.common import materialize, text_buffer
 
 MAX_TOKENS = 2048
 ROWS_PER_BUCKET = 20_000
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 #: Characters that Python splits at and the tokenizer's \s does not.
 _ODD_SPACE = frozenset("\x1c\x1d\x1e\x1f")
 _SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")

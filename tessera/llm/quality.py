@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from tessera.llm.common import mix, pieces, span_sums, text_buffer
 
 BITS = 18
-DIM = 16
-EPOCHS = 6
-RATE = 0.4
+DIM = 8
+EPOCHS = 5
+RATE = 0.6
 NGRAMS = (3, 4, 5)
 #: Documents, and bytes of text, that a model learns from at most; chosen by a hash of their id.
-SAMPLE_ROWS = 6_000
+SAMPLE_ROWS = 5_000
 SAMPLE_BYTES = 48 << 20
 THRESHOLD = 0.7
 
@@ -48,7 +48,8 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> list[tu
             word = mix(word)
             by_doc = np.searchsorted(starts, bounds)
             out.append(((word >> shift).astype(np.int32), by_doc))
-            pair = mix(word[:-1] * np.uint64(3) + word[1:])
+            # a word that comes twice running is a feature whatever the word is
+            pair = mix(np.where(word[:-1] == word[1:], np.uint64(7), word[:-1] * np.uint64(3) + word[1:]))
             pair_docs = np.minimum(by_doc, len(pair))
             out.append(((pair >> shift).astype(np.int32), pair_docs))
         rolling = wide + np.uint64(1)
@@ -96,6 +97,7 @@ def train(bags: list, labels: np.ndarray, bits: int = BITS, dim: int = DIM, epoc
             p /= p.sum()
             p[labels[i]] -= 1
             back = layer.T @ p
+            back /= max(1.0, float(np.sqrt(back @ back)))
             layer -= now * np.outer(p, hidden)
             bias -= now * p
             # a mean over many features moves little: the step of each vector is scaled as if the bag had few of them
