@@ -7,6 +7,13 @@ from pyspark.sql import functions as F
 from tessera.llm.common import crc_mod, table
 
 
+def op1_bwt(spark, sf_dir):
+    from tessera.llm.suffix_dedup import remove_repeats
+
+    out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"), F.col("_n_spans").alias("n_spans"), F.col("_sha256").alias("kept_sha256"))
+
+
 def op2_bestfit(spark, sf_dir):
     from tessera.llm.packing import pack_documents
 
@@ -54,9 +61,15 @@ def op9_warc(spark, sf_dir):
     return archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_e8(spark, sf_dir):
+    from tessera.llm.embed_dedup import near_duplicate_vectors
+
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op2_bestfit, op3_subword, op4_wu_manber, op5_bagminhash, op7_levenshtein, op8_interleave, op9_warc)
+    for f in (op1_bwt, op2_bestfit, op3_subword, op4_wu_manber, op5_bagminhash, op7_levenshtein, op8_interleave, op9_warc, op10_e8)
 }
 
 ORACLE_SQL = {
