@@ -1 +1 @@
-
+"""Online learning over partitions and streams."""
