@@ -22,13 +22,13 @@ def with_position(df: DataFrame, order_by: str, output: str = "_pos", buckets: i
     kind = df.schema[order_by].dataType.typeName()
     key = order_by
     if kind.startswith("timestamp") or kind == "date":
-        df, key = df.withColumn("_key", F.unix_micros(F.col(order_by).cast("timestamp"))), "_key"
+        df, key = df.withColumn("_order_key", F.unix_micros(F.col(order_by).cast("timestamp"))), "_order_key"
     if kind == "string":
         at = F.lit(0)
     else:
         cuts = _cuts(df, key, n)
         at = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c < F.col(key).cast("double"))) if cuts else F.lit(0)
-    df = df.withColumn("_bucket", at).drop("_key")
+    df = df.withColumn("_bucket", at).drop("_order_key")
     counts = df.groupBy("_bucket").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
