@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,9 +15,11 @@ from tessera.llm.common import materialize, text_buffer
 MAX_TOKENS = 2048
 ROWS_PER_BUCKET = 20_000
 CACHE_WORDS = 800_000
-#: Characters that Python splits at and the tokenizer's \s does not.
-_ODD_SPACE = frozenset("\x1c\x1d\x1e\x1f")
-_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: Signs that end words and are tokens of their own after a letter or digit.
+SIGNS = frozenset(",.!?;:")
+#: The letters that byte-level tokenizers write bytes as: printable ones as they are, the others from 256 on.
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_LETTERS = {b: b for b in _PRINTED} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
 
 class Fullness:
@@ -89,34 +91,72 @@ def best_fit_decreasing(histogram: dict[int, int], limit: int = MAX_TOKENS) -> l
 
 
 class WordIds:
-    """Ids of texts by a tokenizer that never joins across white space; ids of words are kept."""
+    """Ids of texts by a tokenizer that never joins across white space and lower-cases; ids of words are kept."""
 
     def __init__(self, path: str, limit: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.kept = Tokenizer.from_file(path), limit, {}
+        self.tokenizer, self.limit, self.kept = Tokenizer.from_file(path), limit, {"": b""}
 
-    def learn(self, texts: list[list[str]]) -> None:
-        new = set().union(*texts) if texts else set()
-        new.difference_update(self.kept)
+    def learn(self, words: list[str]) -> None:
+        """Keep the ids of the words; what a sign ends is put together from the word and the sign."""
+        new = set(words).difference(self.kept)
         if len(self.kept) + len(new) > self.limit:
-            self.kept.clear()
-            new = set().union(*texts)
-        new = list(new)
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
+            self.kept, new = {"": b""}, set(words)
+        signed = [w for w in new if w and w[-1] in SIGNS and w[:-1].isalnum()]
+        plain = new.difference(signed)
+        plain.update(w[:-1] for w in signed)
+        plain.update(w[-1] for w in signed)
+        plain.difference_update(self.kept)
+        # a word of lower-case Latin-1 letters alone is normalised already and is one piece for the model
+        letters = [w for w in plain if w.isalpha() and w.islower() and max(w) < "\u0100"]
+        model = self.tokenizer.model
+        for w in letters:
+            found = model.tokenize(w.encode().decode("latin-1").translate(_LETTERS))
+            self.kept[w] = np.array([t.id for t in found], "<u4").tobytes()
+        plain = list(plain.difference(letters))
+        for at in range(0, len(plain), 20_000):
+            part = plain[at : at + 20_000]
             for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 self.kept[word] = np.array(found.ids, "<u4").tobytes()
+        for w in signed:
+            self.kept[w] = self.kept[w[:-1]] + self.kept[w[-1]]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        split = [x.split() if _ODD_SPACE.isdisjoint(x) else _split_odd(x) for x in texts]
-        self.learn(split)
-        return [b"".join(map(self.kept.__getitem__, words)) for words in split]
-
-
-def _split_odd(text: str) -> list[str]:
-    return [x for x in _SPACE.split(text) if x]
+        """Little-endian unsigned 32-bit ids of each text: every distinct word is looked up once."""
+        data, offsets = text_buffer(pa.array(texts, pa.string()))
+        rows = np.searchsorted(offsets, np.flatnonzero(data - np.uint8(0x1C) < 4), "right") - 1
+        odd = {i: texts[i] for i in np.unique(rows).tolist()}
+        if odd:
+            whole = [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(list(odd.values()), add_special_tokens=False)]
+            odd = dict(zip(odd, whole))
+        # white space here that the tokenizer does not split at: U+001C to U+001F
+        texts = ["" if i in odd else self.folded(x) for i, x in enumerate(texts)]
+        split = pc.utf8_split_whitespace(pa.array(texts, pa.string()))
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        self.learn(words)
+        found = [self.kept[w] for w in words]
+        ids = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.array([len(x) >> 2 for x in found], np.int64)
+        at = coded.indices.to_numpy()
+        each = sizes[at]
+        ends = np.cumsum(each)
+        starts = (np.cumsum(sizes) - sizes)[at]
+        flat = ids[np.repeat(starts - (ends - each), each) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes()
+        edges = 4 * np.concatenate([[0], ends])[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return [odd.get(i) or flat[a:b] for i, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist()))]
+
+    @staticmethod
+    def folded(text: str) -> str:
+        """The text in lower case where that changes no id: Latin-1 letters, and no special token in sight."""
+        if "<|" in text:
+            return text
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+        return text.lower()
 
 
 _TOKENIZERS: dict[str, WordIds] = {}
@@ -139,7 +179,7 @@ def _tokenize(tokenizer: str, limit: int, end_id: int):
             _, offsets = text_buffer(texts)
             at, rows = 0, []
             while at < len(ids):
-                stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + (2 << 20), "right")) - 1)
+                stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + (8 << 20), "right")) - 1)
                 part = [x or "" for x in texts.slice(at, stop - at).to_pylist()]
                 for doc, found in zip(ids[at:stop], encode(part)):
                     found += end
