@@ -80,7 +80,7 @@ def write_archives(pages: DataFrame, path: str, min_payload: int = MIN_PAYLOAD,
     total = pages.agg(F.sum(F.octet_length("html").cast("long") + 600)).first()[0] or 0
     files = max(1, -(-total // file_bytes))
     revisits = resolve_revisits(full, min_payload)
-    placed = full.repartition(files, F.xxhash64("page_id"), "page_id").join(revisits, ["page_id", "payload_digest"], "left")
+    placed = full.repartition(files, "page_id", "payload_digest").join(revisits, ["page_id", "payload_digest"], "left")
     placed.select(_record(date).alias("value")).write.option("lineSep", END).option("compression", "gzip").text(path)
 
 
