@@ -41,6 +41,13 @@ def op5_bagminhash(spark, sf_dir):
     return out.withColumn("kept", F.col("doc_id") == F.col("class_id"))
 
 
+def op6_longest_match(spark, sf_dir):
+    from tessera.llm.token_counts import count_tokens
+
+    out = count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_tokens").alias("n_tokens"))
+
+
 def op7_levenshtein(spark, sf_dir):
     from tessera.llm.toxicity import THRESHOLD, fit_toxicity, score_toxicity
 
@@ -69,7 +76,10 @@ def op10_e8(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_bwt, op2_bestfit, op3_subword, op4_wu_manber, op5_bagminhash, op7_levenshtein, op8_interleave, op9_warc, op10_e8)
+    for f in (
+        op1_bwt, op2_bestfit, op3_subword, op4_wu_manber, op5_bagminhash,
+        op6_longest_match, op7_levenshtein, op8_interleave, op9_warc, op10_e8,
+    )
 }
 
 ORACLE_SQL = {

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import bwt, components, decontaminate, embed_dedup, near_dup, packing, quality, sharding, suffix_dedup, toxicity, warc
+from tessera.llm import bwt, components, decontaminate, embed_dedup, near_dup, packing, quality, sharding, suffix_dedup, token_counts, toxicity, warc
 from tessera.llm.common import words_of
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -388,3 +388,33 @@ def test_vector_recall_at_the_threshold():
     d /= np.linalg.norm(d, axis=1, keepdims=True)
     f, g = embed_dedup.cells(x, 0.98), embed_dedup.cells(0.9801 * x + np.sqrt(1 - 0.9801**2) * d, 0.98)
     assert ((f[:, :, :1] == g).any(2) | (g[:, :, :1] == f).any(2)).any(1).mean() > 0.999
+
+
+def brute_pieces(word, vocabulary):
+    n = at = 0
+    while at < len(word):
+        end = next((e for e in range(len(word), at, -1) if word[at:e] in vocabulary), None)
+        if end is None:
+            return 1
+        n, at = n + 1, end
+    return n
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_longest_match_against_brute_force(seed):
+    rng = random.Random(seed)
+    vocabulary = {bytes(rng.choice(b"abc") for _ in range(rng.randrange(1, 7))) for _ in range(rng.choice([4, 15, 60]))}
+    words = [bytes(rng.choice(b"abcd" if rng.random() < 0.05 else b"abc") for _ in range(rng.randrange(0, 20))) for _ in range(300)]
+    machine = token_counts.LongestMatch(sorted(vocabulary))
+    found = machine.count(np.frombuffer(b"".join(words), np.uint8), np.concatenate([[0], np.cumsum([len(w) for w in words])]))
+    assert found.tolist() == [brute_pieces(w, vocabulary) for w in words]
+
+
+def test_token_counts(spark, texts):
+    vocabulary = set(token_counts.byte_vocabulary())
+    odd = [*texts, "  Two\n\nlines \u2003 é́\x1fx ", "日本語 text"]
+    found = {r["doc_id"]: (r["_n_words"], r["_n_tokens"]) for r in token_counts.count_tokens(docs_of(spark, odd)).collect()}
+    words = {w for t in odd for w in (t or "").split()}
+    each = {w: brute_pieces(b" " + w.encode(), vocabulary) for w in words}
+    assert found == {i: (len((t or "").split()), sum(each[w] for w in (t or "").split())) for i, t in enumerate(odd)}
+    assert token_counts.count_tokens(docs_of(spark, [])).count() == 0
