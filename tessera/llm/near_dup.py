@@ -18,19 +18,12 @@ BANDS, ROWS = 26, 5
 #: Rounds that compare one member of each component of a bucket with the others; what is left is compared in full.
 HUB_ROUNDS = 3
 _UNIT = 2.0**-53
+_SLICE = 1 << 20
 
 
-def shingle_bags(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE):
-    """(document, shingle hash, count) of the distinct shingles of each text, sorted by document and hash.
-
-    Words are runs of digits, letters and non-ASCII characters, lower-cased in ASCII; a text of fewer words than a
-    shingle, but not none, is one shingle.
-    """
-    n_docs = len(offsets) - 1
+def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word of the texts, and the words of each text."""
     text = np.frombuffer(data.tobytes().translate(WORD_TABLE), np.uint8)
-    empty = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    if not len(text):
-        return empty
     inside = text != 32
     first = inside.copy()
     first[1:] &= ~inside[:-1]
@@ -38,16 +31,40 @@ def shingle_bags(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE):
     first[edges] = inside[edges]
     starts = np.flatnonzero(first)
     if not len(starts):
-        return empty
+        return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
     with np.errstate(over="ignore"):
-        begun = np.zeros(len(text), np.int64)
-        begun[starts] = starts
-        since = np.arange(len(text)) - np.maximum.accumulate(begun)
+        since = np.zeros(len(text), np.int32)
+        since[starts] = starts
+        since = np.arange(len(text), dtype=np.int32) - np.maximum.accumulate(since)
         powers = mix(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
-        scaled = (text.astype(np.uint64) + np.uint64(1) + (since >> 8).astype(np.uint64) * np.uint64(977)) * powers[since & 255]
-        word = mix(np.add.reduceat(np.where(inside, scaled, np.uint64(0)), starts))
-        bounds = np.searchsorted(starts, offsets)
-        n_words = np.diff(bounds)
+        scaled = text.astype(np.uint64)
+        scaled += np.uint64(1)
+        scaled += (since >> 8).astype(np.uint64) * np.uint64(977)
+        scaled *= powers[since & 255]
+        scaled[~inside] = 0
+        return mix(np.add.reduceat(scaled, starts)), np.diff(np.searchsorted(starts, offsets))
+
+
+def shingle_bags(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE):
+    """(document, shingle hash, count) of the distinct shingles of each text, sorted by document and hash.
+
+    Words are runs of digits, letters and non-ASCII characters, lower-cased in ASCII; a text of fewer words than a
+    shingle, but not none, is one shingle.
+    """
+    n_docs = len(offsets) - 1
+    empty = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    words, counts, at = [], [], 0
+    while at < n_docs:
+        stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + _SLICE, "right")) - 1)
+        word, n = _word_hashes(data[offsets[at] : offsets[stop]], offsets[at : stop + 1] - offsets[at])
+        words.append(word)
+        counts.append(n)
+        at = stop
+    word, n_words = (np.concatenate([np.zeros(0, t), *x]) for t, x in ((np.uint64, words), (np.int64, counts)))
+    if not len(word):
+        return empty
+    with np.errstate(over="ignore"):
+        bounds = np.concatenate([[0], np.cumsum(n_words)])
         doc = np.repeat(np.arange(n_docs), n_words)
         left = np.repeat(bounds[1:], n_words) - np.arange(len(word))
         padded = np.concatenate([word, np.zeros(size, np.uint64)])
@@ -122,7 +139,7 @@ def band_keys(signatures: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> n
 
 def _sign(batches):
     """(doc_id, key of the word sequence or null, elements, bands) of each document."""
-    for batch in pieces(batches, "text", 8 << 20):
+    for batch in pieces(batches, "text", 4 << 20):
         data, offsets = text_buffer(batch.column("text"))
         n = batch.num_rows
         doc, value, count = shingle_bags(data, offsets)

@@ -12,6 +12,8 @@ from tessera.llm.common import mix, pieces, span_sums, text_buffer
 BITS = 18
 DIM = 8
 EPOCHS = 5
+#: Steps that a small sample is gone through again for.
+LEAST_STEPS = 20_000
 RATE = 0.6
 NGRAMS = (3, 4, 5)
 #: Documents, and bytes of text, that a model learns from at most; chosen by a hash of their id.
@@ -85,6 +87,7 @@ def train(bags: list, labels: np.ndarray, bits: int = BITS, dim: int = DIM, epoc
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / dim, 1 / dim, (1 << bits, dim)).astype(np.float32)
     layer, bias = np.zeros((2, dim), np.float32), np.zeros(2, np.float32)
+    epochs = max(epochs, -(-LEAST_STEPS // len(bags)))
     steps, done = epochs * len(bags), 0
     for _ in range(epochs):
         for i in rng.permutation(len(bags)):
@@ -113,17 +116,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & usable)
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("_label"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * rows)
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    # the ids are few, so the documents that they name come to the driver as they are, without a sort of texts
     found = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
-    sized = found.withColumn("_size", F.coalesce(F.octet_length("text"), F.lit(0)))
     # whole texts: those above a hundredth of the budget are not learned from
-    found = sized.where(F.col("_size") <= max_bytes // 100).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows)
+    found = found.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= max_bytes // 100)
     texts, marks, used = [], [], 0
-    for r in found.select("text", "_label", "_size").toLocalIterator():
-        used += r["_size"]
-        if used > max_bytes:
+    for r in found.select("text", "_label").toLocalIterator():
+        text = (r["text"] or "").encode()
+        used += len(text)
+        if used > max_bytes or len(texts) >= 2 * rows:
             break
-        texts.append((r["text"] or "").encode())
+        texts.append(text)
         marks.append(r["_label"])
     return texts, np.array(marks, np.int64)
 

@@ -20,6 +20,9 @@ BLOCKS_PER_BUCKET = 4
 _SLICE = 1 << 20
 _LAST = np.iinfo(np.int64).max
 _KEY_BITS = 48
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64))
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
 def _anchor_runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM):
@@ -31,7 +34,7 @@ def _anchor_runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gr
     n, span = len(data), length - gram + 1
     none = np.zeros(0, np.int64)
     if n < length:
-        return none, none, none.astype(np.uint64), none
+        return none, none, none.astype(np.uint64), none, none.astype(np.uint64)
     with np.errstate(over="ignore"):
         h = [data.astype(np.uint64) + np.uint64(1)]
         step, power = 1, np.uint64(0x9E3779B97F4A7C15)
@@ -73,7 +76,19 @@ def _anchor_runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gr
     if (parts > 1).any():
         nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
         first, doc, windows = np.repeat(first, parts) + nth * span, np.repeat(doc, parts), np.minimum(np.repeat(windows, parts) - nth * span, span)
-    return first, windows, low[first], doc
+    return first, windows, low[first], doc, _contents(data, first, windows + length - 1)
+
+
+def _contents(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each of the strings data[first:first + size]: a polynomial, by sums of prefixes."""
+    with np.errstate(over="ignore"):
+        powers, back = np.full(len(data) + 1, _BASE, np.uint64), np.full(len(data) + 1, _INVERSE, np.uint64)
+        powers[0] = back[0] = 1
+        np.multiply.accumulate(powers, out=powers)
+        np.multiply.accumulate(back, out=back)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[data] * powers[:-1], dtype=np.uint64)])
+        # the inverse power brings every string to the start
+        return mix((sums[first + size] - sums[first]) * back[first] + size.astype(np.uint64))
 
 
 def _runs(data: np.ndarray, offsets: np.ndarray):
@@ -81,12 +96,13 @@ def _runs(data: np.ndarray, offsets: np.ndarray):
     found, at = [], 0
     while at < len(offsets) - 1:
         stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + _SLICE, "right")) - 1)
-        first, windows, key, doc = _anchor_runs(data[offsets[at] : offsets[stop]], offsets[at : stop + 1] - offsets[at])
-        found.append((first + offsets[at], windows, key, doc + at))
+        first, windows, key, doc, content = _anchor_runs(data[offsets[at] : offsets[stop]], offsets[at : stop + 1] - offsets[at])
+        found.append((first + offsets[at], windows, key, doc + at, content))
         at = stop
     none = np.zeros(0, np.int64)
-    first, windows, key, doc = (np.concatenate(x) for x in zip((none, none, none.astype(np.uint64), none), *found))
-    return first, windows, mix(key) >> np.uint64(64 - _KEY_BITS), doc
+    first, windows, key, doc, content = (np.concatenate(x) for x in zip((none, none, none.astype(np.uint64), none, none.astype(np.uint64)), *found))
+    key = mix(key)
+    return first, windows, key >> np.uint64(64 - _KEY_BITS), doc, mix(content ^ key)
 
 
 def _sent_keys(key: np.ndarray, ids: np.ndarray, parts: int):
@@ -102,149 +118,246 @@ def _sent_keys(key: np.ndarray, ids: np.ndarray, parts: int):
     return part[order], distinct[order], (low < high)[order], place[at]
 
 
+def _pack_keys(key: np.ndarray) -> bytes:
+    return (key >> np.uint64(16)).astype("<u4").tobytes() + key.astype("<u2").tobytes()
+
+
+def _unpack_keys(packed: bytes) -> np.ndarray:
+    n = len(packed) // 6
+    return np.frombuffer(packed, "<u4", n).astype(np.uint64) << np.uint64(16) | np.frombuffer(packed, "<u2", n, 4 * n).astype(np.uint64)
+
+
+def _bits(packed: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(packed, np.uint8), count=n).astype(bool)
+
+
 class _Block:
-    """The documents of a block and their runs."""
+    """The documents of a block, their runs, and the distinct strings of runs whose anchor two documents have."""
 
-    def __init__(self, table: pa.Table, parts: int):
+    def __init__(self, table: pa.Table, parts: int, answers: pa.Table | None = None):
         self.data, self.offsets = text_buffer(table.column("_text"))
         ids = table.column("_id").combine_chunks()
         self.ids = ids.fill_null(_LAST).to_numpy()
-        self.first, self.windows, key, self.doc = _runs(self.data, self.offsets)
+        self.first, self.windows, key, self.doc, self.content = _runs(self.data, self.offsets)
         self.part, self.key, self.shared, self.at = _sent_keys(key, self.ids[self.doc], parts)
-
-    def strings(self, bits: dict[int, bytes]):
-        """(part, string, smallest id, whether two ids have it, its runs) of the runs whose anchor two documents have."""
+        if answers is None:
+            return
+        rows = answers.to_pylist()
         flags = np.zeros(len(self.key), bool)
-        for part, packed in bits.items():
-            a, b = np.searchsorted(self.part, part), np.searchsorted(self.part, part, "right")
-            flags[a:b] = np.unpackbits(np.frombuffer(packed, np.uint8), count=b - a)
+        for r in rows:
+            if r["kind"] == 0:
+                a, b = self.span(self.part, r["p"])
+                flags[a:b] = _bits(r["x"], b - a)
         runs = np.flatnonzero(flags[self.at])
-        raw, kept = self.data.tobytes(), {}
-        for run, start, size in zip(runs.tolist(), self.first[runs].tolist(), (self.windows[runs] + LENGTH - 1).tolist()):
-            kept.setdefault(raw[start : start + size], []).append(run)
-        strings = sorted(kept)
-        lists = [kept[s] for s in strings]
-        sizes = np.array([len(x) for x in lists], np.int64)
-        runs = np.fromiter((r for x in lists for r in x), np.int64, int(sizes.sum()))
-        starts = np.cumsum(sizes) - sizes
-        ids = self.ids[self.doc[runs]]
-        low = np.minimum.reduceat(ids, starts) if len(strings) else ids
-        high = np.maximum.reduceat(ids, starts) if len(strings) else ids
-        part = self.part[self.at[runs[starts]]] if len(strings) else ids
-        return part, strings, low, low < high, runs, starts, sizes
+        content = self.content[runs]
+        self.string, one, each = np.unique(content, return_index=True, return_inverse=True)
+        at = self.at[runs[one]]
+        order = np.argsort(self.part[at], kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        each = place[each]
+        self.string, self.string_part, self.string_key, self.string_run = self.string[order], self.part[at][order], self.key[at][order], runs[one][order]
+        self.runs, self.each = runs, each
+        self.low, high = np.full(len(order), _LAST), np.full(len(order), np.iinfo(np.int64).min)
+        run_ids = self.ids[self.doc[runs]]
+        np.minimum.at(self.low, each, run_ids)
+        np.maximum.at(high, each, run_ids)
+        self.many = self.low < high
+        self.answers = {k: {r["p"]: r for r in rows if r["kind"] == k} for k in (1, 2)}
+
+    @staticmethod
+    def span(parts: np.ndarray, p: int) -> tuple[int, int]:
+        return int(np.searchsorted(parts, p)), int(np.searchsorted(parts, p, "right"))
+
+
+_ROW = pa.schema([("p", pa.int64()), ("_b", pa.int64()), ("kind", pa.int32()), *[(c, pa.binary()) for c in "xyzvw"]])
+_ROW_SQL = "p long, _b long, kind int, x binary, y binary, z binary, v binary, w binary"
+
+
+def _rows(rows: list[tuple]) -> pa.Table:
+    """Messages (part, block, kind, up to five byte strings)."""
+    rows = [(*r, *[None] * (len(_ROW) - len(r))) for r in rows]
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), _ROW.types)], schema=_ROW) if rows else _ROW.empty_table()
 
 
 def _send_keys(parts: int):
     """Of a block: for each part, its distinct anchor keys and which of them two of its documents have."""
-    schema = pa.schema([("p", pa.int64()), ("_b", pa.int64()), ("keys", pa.binary()), ("shared", pa.binary())])
 
     def run(key, table):
         block, rows = _Block(table, parts), []
-        for part in np.unique(block.part):
-            a, b = np.searchsorted(block.part, part), np.searchsorted(block.part, part, "right")
-            k = block.key[a:b]
-            packed = (k >> np.uint64(16)).astype("<u4").tobytes() + k.astype("<u2").tobytes()
-            rows.append((int(part), key[0].as_py(), packed, np.packbits(block.shared[a:b]).tobytes()))
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema) if rows else schema.empty_table()
+        for p in np.unique(block.part).tolist():
+            a, b = block.span(block.part, p)
+            rows.append((p, key[0].as_py(), 0, _pack_keys(block.key[a:b]), np.packbits(block.shared[a:b]).tobytes()))
+        return _rows(rows)
 
     return run
 
 
 def _repeated(key, table):
     """Of a part: for each block, a bit for each key that it sent: whether two documents of any blocks have it."""
-    schema = pa.schema([("_b", pa.int64()), ("p", pa.int64()), ("bits", pa.binary())])
-    keys, shared = [], []
-    for packed, flags in zip(table.column("keys").to_pylist(), table.column("shared").to_pylist()):
-        n = len(packed) // 6
-        keys.append(np.frombuffer(packed, "<u4", n).astype(np.uint64) << np.uint64(16) | np.frombuffer(packed, "<u2", n, 4 * n).astype(np.uint64))
-        shared.append(np.unpackbits(np.frombuffer(flags, np.uint8), count=n).astype(bool))
-    distinct, at, n = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+    got = table.to_pylist()
+    keys = [_unpack_keys(r["x"]) for r in got]
+    shared = [_bits(r["y"], len(k)) for r, k in zip(got, keys)]
+    _, at, n = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
     again = n > 1
     again[at[np.concatenate(shared)]] = True
     edges = np.cumsum([0, *map(len, keys)])
-    bits = [np.packbits(again[at[a:b]]).tobytes() for a, b in zip(edges[:-1], edges[1:])]
-    return pa.table([table.column("_b"), table.column("p"), pa.array(bits, pa.binary())], schema=schema)
+    return _rows([(r["p"], r["_b"], 0, np.packbits(again[at[a:b]]).tobytes()) for r, a, b in zip(got, edges[:-1], edges[1:])])
+
+
+def _send_strings(parts: int):
+    """Of a block: for each part, anchor, hash, smallest document and `many` of its strings of repeated anchors."""
+
+    def run(key, table, answers):
+        if not table.num_rows:
+            return _ROW.empty_table()
+        block, rows = _Block(table, parts, answers), []
+        for p in np.unique(block.string_part).tolist():
+            a, b = block.span(block.string_part, p)
+            rows.append((p, key[0].as_py(), 1, _pack_keys(block.string_key[a:b]), block.string[a:b].tobytes(), block.low[a:b].tobytes(), np.packbits(block.many[a:b]).tobytes()))
+        return _rows(rows)
+
+    return run
+
+
+def _collapse(key, table):
+    """Of a part: equal strings of all blocks become one.
+
+    Each block hears for each of its strings: the smallest document that has it, whether two have it, and whether it is
+    to send the string on: the first block does, if another string has the same anchor; it also hears who has it.
+    """
+    got = table.to_pylist()
+    content = np.concatenate([np.frombuffer(r["y"], np.uint64) for r in got])
+    keys = np.concatenate([_unpack_keys(r["x"]) for r in got])
+    low = np.concatenate([np.frombuffer(r["z"], np.int64) for r in got])
+    sizes = [len(r["y"]) // 8 for r in got]
+    many = np.concatenate([_bits(r["v"], n) for r, n in zip(got, sizes)])
+    blocks = np.repeat(np.array([r["_b"] for r in got], np.int64), sizes)
+    distinct, one, at = np.unique(content, return_index=True, return_inverse=True)
+    least, most, several = np.full(len(distinct), _LAST), np.full(len(distinct), np.iinfo(np.int64).min), np.zeros(len(distinct), bool)
+    np.minimum.at(least, at, low)
+    np.maximum.at(most, at, low)
+    several[at[many]] = True
+    several |= least < most
+    _, anchor, n = np.unique(keys[one], return_inverse=True, return_counts=True)
+    sends = np.zeros(len(content), bool)
+    sends[one[n[anchor] > 1]] = True
+    order = np.argsort(at, kind="stable")
+    holders, held = blocks[order].astype("<i4"), np.bincount(at, minlength=len(distinct))
+    starts = np.cumsum(held) - held
+    rows, edges = [], np.cumsum([0, *sizes])
+    for r, a, b in zip(got, edges[:-1], edges[1:]):
+        own = at[a:b][sends[a:b]]
+        k = held[own]
+        flat = holders[np.repeat(starts[own] - (np.cumsum(k) - k), k) + np.arange(k.sum())]
+        rows.append((r["p"], r["_b"], 1, least[at[a:b]].tobytes(), np.packbits(several[at[a:b]]).tobytes(), np.packbits(sends[a:b]).tobytes(), k.astype("<i4").tobytes(), flat.tobytes()))
+    return _rows(rows)
 
 
 def _send_transforms(parts: int):
-    """Of a block: for each part, the transform of its candidate strings, and each string's smallest document."""
-    schema = pa.schema([("p", pa.int64()), ("_b", pa.int64()), ("symbols", pa.binary()), ("ends", pa.binary()), ("low", pa.binary()), ("many", pa.binary())])
+    """Of a block: for each part, the transform of the strings that it is to send, with hash, document and holders of each."""
 
     def run(key, table, answers):
         if not table.num_rows:
-            return schema.empty_table()
-        block, rows = _Block(table, parts), []
-        part, strings, low, many, *_ = block.strings(dict(zip(answers.column("p").to_pylist(), answers.column("bits").to_pylist())))
-        owner, _, symbols = suffix_order(strings)
-        order = np.argsort(part[owner], kind="stable") if len(strings) else owner
-        owner, symbols = owner[order], symbols[order]
+            return _ROW.empty_table()
+        block, rows = _Block(table, parts, answers), []
+        n = len(block.string)
+        sends, least, held, flat = np.zeros(n, bool), np.zeros(n, np.int64), np.zeros(n, np.int64), [np.zeros(0, np.int32)]
+        for p, r in sorted(block.answers[1].items()):
+            a, b = block.span(block.string_part, p)
+            sends[a:b], least[a:b] = _bits(r["z"], b - a), np.frombuffer(r["x"], np.int64)
+            held[a:b][sends[a:b]] = np.frombuffer(r["v"], "<i4")
+            flat.append(np.frombuffer(r["w"], "<i4"))
+        flat, starts = np.concatenate(flat), np.cumsum(held) - held
+        own = np.flatnonzero(sends)
+        raw = block.data.tobytes()
+        run_ = block.string_run[own]
+        texts = [raw[f : f + s] for f, s in zip(block.first[run_].tolist(), (block.windows[run_] + LENGTH - 1).tolist())]
+        order = sorted(range(len(own)), key=texts.__getitem__)
+        own, texts = own[order], [texts[i] for i in order]
+        part = block.string_part[own]
+        owner, _, symbols = suffix_order(texts)
+        by_part = np.argsort(part[owner], kind="stable")
+        owner, symbols = owner[by_part], symbols[by_part]
         # the transform of some of the strings is the rows of those strings
-        for p in np.unique(part):
-            a, b = np.searchsorted(part[owner], p), np.searchsorted(part[owner], p, "right")
-            own, mine = symbols[a:b], part == p
-            rows.append((int(p), key[0].as_py(), np.maximum(own.astype(np.int64) - 1, 0).astype(np.uint8).tobytes(), np.flatnonzero(own == END).astype("<u4").tobytes(), low[mine].astype("<i8").tobytes(), np.packbits(many[mine]).tobytes()))
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema) if rows else schema.empty_table()
+        for p in np.unique(part).tolist():
+            a, b = block.span(part[owner], p)
+            mine, x = own[part == p], symbols[a:b]
+            k = held[mine]
+            who = flat[np.repeat(starts[mine] - (np.cumsum(k) - k), k) + np.arange(k.sum())]
+            about = np.stack([block.string[mine].view(np.int64), least[mine], k], 1).astype("<i8")
+            rows.append((p, key[0].as_py(), 2, np.maximum(x.astype(np.int64) - 1, 0).astype(np.uint8).tobytes(), np.flatnonzero(x == END).astype("<u4").tobytes(), about.tobytes(), who.astype("<i4").tobytes()))
+        return _rows(rows)
 
     return run
 
 
 def _merge_transforms(key, table):
-    """Of a part: merge the blocks' transforms; for each block, the runs of windows that a smaller document has.
+    """Of a part: merge the blocks' transforms; each holder of a string hears of windows that a smaller document has.
 
-    A run is (string number, first window, windows, smallest document with them).
+    Such a run of windows is (string's hash, first window, windows, smallest document with them).
     """
-    schema = pa.schema([("_b", pa.int64()), ("p", pa.int64()), ("found", pa.binary())])
-    n_strings, symbols, low, many = [], [], [], []
-    for s, e, d, m in zip(*(table.column(c).to_pylist() for c in ("symbols", "ends", "low", "many"))):
-        x = np.frombuffer(s, np.uint8).astype(np.uint16) + np.uint16(1)
-        x[np.frombuffer(e, "<u4")] = END
+    got = table.to_pylist()
+    symbols, about = [], [np.frombuffer(r["z"], "<i8").reshape(-1, 3) for r in got]
+    for r in got:
+        x = np.frombuffer(r["x"], np.uint8).astype(np.uint16) + np.uint16(1)
+        x[np.frombuffer(r["y"], "<u4")] = END
         symbols.append(x)
-        low.append(np.frombuffer(d, "<i8"))
-        n_strings.append(len(low[-1]))
-        many.append(np.unpackbits(np.frombuffer(m, np.uint8), count=n_strings[-1]).astype(bool))
-    sizes = np.array([len(x) for x in symbols], np.int64)
+    sizes, counts = np.array([len(x) for x in symbols], np.int64), np.array([len(x) for x in about], np.int64)
     shard = np.repeat(np.arange(len(sizes), dtype=np.uint16 if len(sizes) < 65_536 else np.int64), sizes)
-    symbols, low, many, counts = np.concatenate(symbols), np.concatenate(low), np.concatenate(many), np.array(n_strings)
-    strings_before, rows_before = np.cumsum(counts) - counts, np.cumsum(sizes) - sizes
+    symbols, about, holders = np.concatenate(symbols), np.concatenate(about), np.concatenate([np.frombuffer(r["v"], "<i4") for r in got])
+    content, low, held = about.T
     lf = last_to_first(symbols, shard)
-    ends = np.repeat(rows_before, counts) + np.arange(len(low)) - np.repeat(strings_before, counts)
+    ends = np.repeat(np.cumsum(sizes) - sizes - (np.cumsum(counts) - counts), counts) + np.arange(len(low))
     owner, offset = walk(symbols, lf, ends)
-    rows, block, _ = merge(symbols, shard, lf, LENGTH, ~many[owner])
-    found = [b""] * len(sizes)
-    if len(rows):
-        least = np.full(int(block.max()) + 1, _LAST)
-        np.minimum.at(least, block, low[owner[rows]])
-        string, window, least = owner[rows], offset[rows], least[block]
-        use = many[string] | (least < low[string])
-        order = np.lexsort((window[use], string[use]))
-        string, window, least = string[use][order], window[use][order], least[use][order]
-        new = np.ones(len(string), bool)
-        new[1:] = (string[1:] != string[:-1]) | (window[1:] != window[:-1] + 1) | (least[1:] != least[:-1])
-        at = np.flatnonzero(new)
-        owner_shard = np.repeat(np.arange(len(counts)), counts)[string[at]]
-        answer = np.stack([string[at] - strings_before[owner_shard], window[at], np.diff(np.append(at, len(string))), least[at]], 1).astype("<i8")
-        cuts = np.searchsorted(owner_shard, np.arange(len(counts) + 1))
-        found = [answer[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
-    return pa.table([table.column("_b"), table.column("p"), pa.array(found, pa.binary())], schema=schema)
-
-
-def _removed(block: _Block, bits: dict, found: dict) -> np.ndarray:
+    rows, interval, _ = merge(symbols, shard, lf, LENGTH, np.ones(len(symbols), bool))
+    if not len(rows):
+        return _ROW.empty_table()
+    least = np.full(int(interval.max()) + 1, _LAST)
+    np.minimum.at(least, interval, low[owner[rows]])
+    string, window, least = owner[rows], offset[rows], least[interval]
+    use = least < low[string]
+    order = np.lexsort((window[use], string[use]))
+    string, window, least = string[use][order], window[use][order], least[use][order]
+    new = np.ones(len(string), bool)
+    new[1:] = (string[1:] != string[:-1]) | (window[1:] != window[:-1] + 1) | (least[1:] != least[:-1])
+    at = np.flatnonzero(new)
+    string, window, windows, least = string[at], window[at], np.diff(np.append(at, len(string))), least[at]
+    k = held[string]
+    starts = np.cumsum(held) - held
+    to = holders[np.repeat(starts[string] - (np.cumsum(k) - k), k) + np.arange(k.sum())]
+    answer = np.repeat(np.stack([content[string], window, windows, least], 1), k, axis=0).astype("<i8")
+    order = np.argsort(to, kind="stable")
+    to, answer = to[order], answer[order]
+    blocks, firsts = np.unique(to, return_index=True)
+    return _rows([(key[0].as_py(), int(b), 2, answer[i:j].tobytes()) for b, i, j in zip(blocks, firsts, [*firsts[1:], len(to)])])
+
+
+def _removed(block: _Block) -> np.ndarray:
     """Bytes of the block that are removed, as flags."""
-    part, strings, _, _, runs, starts, sizes = block.strings(bits)
     edge = np.zeros(len(block.data) + 1, np.int32)
-    for p, packed in found.items():
-        if not packed:
-            continue
-        mine = np.flatnonzero(part == p)
-        string, window, windows, least = np.frombuffer(packed, "<i8").reshape(-1, 4).T
-        string = mine[string]
-        n = sizes[string]
-        each = np.repeat(starts[string] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        run = runs[each]
-        later = block.ids[block.doc[run]] > np.repeat(least, n)
-        first = (block.first[run] + np.repeat(window, n))[later]
+    n = len(block.string)
+    least = np.full(n, _LAST)
+    for p, r in block.answers[1].items():
+        a, b = block.span(block.string_part, p)
+        least[a:b] = np.frombuffer(r["x"], np.int64)
+    ids = block.ids[block.doc[block.runs]]
+    gone = block.runs[ids > least[block.each]]
+    np.add.at(edge, block.first[gone], 1)
+    np.add.at(edge, block.first[gone] + block.windows[gone] + LENGTH - 1, -1)
+    order = np.argsort(block.each, kind="stable")
+    sizes = np.bincount(block.each, minlength=n)
+    starts = np.cumsum(sizes) - sizes
+    for p, r in block.answers[2].items():
+        a, b = block.span(block.string_part, p)
+        content, window, windows, _ = np.frombuffer(r["x"], "<i8").reshape(-1, 4).T
+        string = a + np.searchsorted(block.string[a:b], content.view(np.uint64) if content.flags.c_contiguous else np.ascontiguousarray(content).view(np.uint64))
+        k = sizes[string]
+        # smaller than any document that has the whole string, so all of them lose these windows
+        run = block.runs[order[np.repeat(starts[string] - (np.cumsum(k) - k), k) + np.arange(k.sum())]]
+        first = block.first[run] + np.repeat(window, k)
         np.add.at(edge, first, 1)
-        np.add.at(edge, first + np.repeat(windows, n)[later] + LENGTH - 1, -1)
+        np.add.at(edge, first + np.repeat(windows, k) + LENGTH - 1, -1)
     return np.cumsum(edge)[:-1] > 0
 
 
@@ -254,14 +367,8 @@ def _cut(parts: int, schema: pa.Schema):
     def run(key, table, answers):
         if not table.num_rows:
             return schema.empty_table()
-        block = _Block(table, parts)
-        bits, found = {}, {}
-        for p, bit, hit in zip(*(answers.column(c).to_pylist() for c in ("p", "bits", "found"))):
-            if bit is not None:
-                bits[p] = bit
-            else:
-                found[p] = hit
-        gone = _removed(block, bits, found)
+        block = _Block(table, parts, answers)
+        gone = _removed(block)
         rise = gone.copy()
         rise[1:] &= ~gone[:-1]
         heads = block.offsets[:-1][np.diff(block.offsets) > 0]
@@ -285,22 +392,24 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """docs with _n_bytes, _n_removed, _n_spans, _kept (bytes) and _sha256 of the kept bytes.
 
     A byte goes if a string of LENGTH bytes that covers it also starts in a document with a smaller doc_id. Documents
-    are dealt by a hash of doc_id to blocks, in a bucketed table of the shared folder, so that the three passes over
+    are dealt by a hash of doc_id to blocks, in a bucketed table of the shared folder, so that the four passes over
     texts need no further shuffle of them:
 
     1. a block sends the 48-bit hashes of its anchors; each part tells it which of them two documents have;
-    2. a block sends the transform of the strings around those anchors (equal strings once) to the anchor's part, which
-       merges the transforms of all blocks and finds the repeated intervals of depth LENGTH;
-    3. a block removes what the parts found to be in smaller documents.
+    2. a block sends the 64-bit hashes of the strings around those anchors; each part makes equal strings one, so that
+       copies cost no more than one string, and finds the strings that share an anchor but are not equal;
+    3. the first block with such a string sends it, in the transform of all that it sends to a part; the part merges
+       the transforms of all blocks and finds the repeated intervals of depth LENGTH;
+    4. a block removes what the parts found to be in smaller documents.
 
-    A hash that falls together with another only costs a comparison. Null and empty texts keep nothing and remove
+    Null and empty texts keep nothing and remove
     nothing; a null doc_id is larger than all others, and its rows do not remove from one another, nor do rows with
     one doc_id; other columns are kept. Memory is bounded by a block (a BLOCKS_PER_BUCKET-th of a shuffle partition's
     share of the texts, or one longer document) and by a part.
     """
     spark = docs.sparkSession
     buckets = shuffle_partitions(spark)
-    parts, blocks = buckets, buckets * BLOCKS_PER_BUCKET
+    parts, blocks = 2 * buckets, buckets * BLOCKS_PER_BUCKET
     names = [c for c in docs.columns if c not in ("_b", "_id", "_text")]
     name, path = f"tessera_blocks_{uuid.uuid4().hex}", shared_path(spark, "blocks")
     dealt = docs.select(*names, F.col("doc_id").cast("long").alias("_id"), F.encode("text", "UTF-8").alias("_text"), F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("_b"))
@@ -311,11 +420,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     dealt.write.bucketBy(buckets, "_b").sortBy("_b").option("path", path).option("compression", "zstd").saveAsTable(name)
     table = spark.table(name)
     slim = table.select("_b", "_id", "_text")
-    keys = slim.groupBy("_b").applyInArrow(_send_keys(parts), "p long, _b long, keys binary, shared binary")
-    bits = materialize(keys.groupBy("p").applyInArrow(_repeated, "_b long, p long, bits binary"), "repeated")
-    sent = slim.groupBy("_b").cogroup(bits.groupBy("_b")).applyInArrow(_send_transforms(parts), "p long, _b long, symbols binary, ends binary, low binary, many binary")
-    found = materialize(sent.groupBy("p").applyInArrow(_merge_transforms, "_b long, p long, found binary"), "merged")
-    answers = bits.withColumn("found", F.lit(None).cast("binary")).unionByName(found.withColumn("bits", F.lit(None).cast("binary")))
+    keys = slim.groupBy("_b").applyInArrow(_send_keys(parts), _ROW_SQL)
+    bits = materialize(keys.groupBy("p").applyInArrow(_repeated, _ROW_SQL), "repeated")
+    strings = slim.groupBy("_b").cogroup(bits.groupBy("_b")).applyInArrow(_send_strings(parts), _ROW_SQL)
+    answers = bits.unionByName(materialize(strings.groupBy("p").applyInArrow(_collapse, _ROW_SQL), "collapsed"))
+    sent = slim.groupBy("_b").cogroup(answers.groupBy("_b")).applyInArrow(_send_transforms(parts), _ROW_SQL)
+    answers = answers.unionByName(materialize(sent.groupBy("p").applyInArrow(_merge_transforms, _ROW_SQL), "merged"))
     shape = table.select(*names).schema.add("_n_bytes", "long").add("_n_removed", "long").add("_n_spans", "long").add("_kept", "binary").add("_sha256", "string")
     from pyspark.sql.pandas.types import to_arrow_schema
 
