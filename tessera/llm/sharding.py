@@ -41,6 +41,8 @@ def interleave_shards(rows: DataFrame, n_shards: int = 16, stratum: str = "strat
     sizes = rows.groupBy("_s").agg(F.count("*").alias("_size"))
     own = F.ceil(F.col("_size") / ROWS_PER_BUCKET)
     rows = rows.join(sizes, "_s").withColumn("_b", F.floor(F.shiftrightunsigned(key, 24) / F.lit(float(1 << 40)) * own))
+    # dealt by stratum and bucket: rows left where the join put them would give a hot stratum one task
+    rows = rows.repartition("_s", "_b")
     ranked = _ranked(rows, ["_s"], "_b", [key, *extra], "_rank").drop("_b")
     ranked = ranked.withColumn("_part", (F.col("_rank") + F.lit(0.5)) / F.col("_size"))
     ranked = ranked.withColumn("_b", F.floor(F.col("_part") * buckets)).withColumn("_all", F.lit(0))
