@@ -21,6 +21,8 @@ THRESHOLD = 0.7
 SYMBOLS = 0x3000
 #: Letters that stand for others in disguised spelling.
 LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "@": "a", "$": "s", "!": "i"}
+#: Those that are marks as well: letters of a word, or its edge.
+SIGNS = np.array([ord(c) for c in LOOKALIKES if not c.isalnum()], np.uint32)
 #: Marks of quotation, as code points.
 QUOTES = "\"'«»“”„‘’‹›`"
 #: Words that report another's words.
@@ -122,6 +124,19 @@ class LexiconAutomaton:
             live, state = live[on], state[on]
         return out
 
+    def readings(self, symbols: np.ndarray, starts: np.ndarray, stops: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first, end, edits) of every reading near a term: from one of `starts` to a marked end up to its stop."""
+        at, first, state = starts, starts, np.ones(len(starts), np.int32)
+        found = [(starts[:0], starts[:0], np.zeros(0, np.int8))]
+        while len(at):
+            state = self.table[state, symbols[at]]
+            at = at + 1
+            over = ends[at] & (self.best[state] < 9)
+            found.append((first[over], at[over], self.best[state[over]]))
+            on = (state > 0) & (at < stops)
+            at, first, state, stops = at[on], first[on], state[on], stops[on]
+        return tuple(np.concatenate(x) for x in zip(*found))
+
 
 def lowered(text: str) -> str:
     return text.lower()
@@ -161,24 +176,50 @@ class Scorer:
         inside = symbols > 0
         change = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
         starts, lengths = change[::2], change[1::2] - change[::2]
-        words = np.bincount(np.searchsorted(edges, starts, "right") - 1, minlength=len(texts))
+        signs = np.isin(points, SIGNS)
+        before = np.concatenate([[0], np.cumsum(signs)])
+        marks = before[starts + lengths] - before[starts]
+        # signs alone are no word
+        words = np.bincount(np.searchsorted(edges, starts[marks < lengths], "right") - 1, minlength=len(texts))
         out = np.zeros((len(texts), 6))
         if not self.automaton.terms:
             return out
-        edits = self.automaton.distance(symbols, starts, lengths)
-        hit = np.flatnonzero(edits < 9)
-        doc = np.searchsorted(edges, starts[hit], "right") - 1
-        for d, w in zip(doc.tolist(), hit.tolist()):
-            a, b = int(starts[w]), int(starts[w] + lengths[w])
+        plain, marked = marks == 0, marks > 0
+        edits = self.automaton.distance(symbols, starts[plain], lengths[plain])
+        hit = edits < 9
+        first, end = starts[plain][hit], (starts + lengths)[plain][hit]
+        hits = [*zip(first.tolist(), end.tolist(), edits[hit].tolist()), *self._marked(symbols, signs, starts[marked], lengths[marked])]
+        doc = np.searchsorted(edges, [a for a, _, _ in hits], "right") - 1
+        for d, (a, b, used) in zip(doc.tolist(), hits):
             own, lo, hi = texts[d], a - int(edges[d]), b - int(edges[d])
             quoted = _quoted(own, lo, hi)
-            out[d, (2 if quoted else 0) + int(edits[w] > 0)] += 1
+            out[d, (2 if quoted else 0) + int(used > 0)] += 1
         share = (out[:, 0] + 0.5 * out[:, 1]) / np.maximum(words[: len(texts)], 1)
         out[:, 4] = np.minimum(1, 20 * share)
         out[:, 5] = (out[:, 0] > 0) | (out[:, 1] > 1)
         out[:, :4] = np.log1p(out[:, :4])
         return out
 
+    def _marked(self, symbols: np.ndarray, signs: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> list[tuple[int, int, int]]:
+        """Terms in words with signs, where a reading may begin and end at any sign, with it or without it.
+
+        Of readings that overlap, those with the fewest edits count, the longest first.
+        """
+        each = np.repeat(np.arange(len(starts)), lengths)
+        at = np.arange(len(each)) + (starts - np.cumsum(lengths) + lengths)[each]
+        begins = (at == starts[each]) | signs[at] | signs[at - 1]
+        stops = (starts + lengths)[each]
+        ends = np.zeros(len(symbols) + 1, bool)
+        ends[at[signs[at]]] = ends[at[signs[at]] + 1] = ends[stops] = True
+        found = self.automaton.readings(symbols, at[begins], stops[begins], ends)
+        hits, taken = [], {}
+        for a, b, used in sorted(zip(*(x.tolist() for x in found)), key=lambda x: (x[2], x[0] - x[1], x[0])):
+            others = taken.setdefault(int(np.searchsorted(starts, a, "right")), [])
+            if all(b <= x or y <= a for x, y in others):
+                others.append((a, b))
+                hits.append((a, b, used))
+        return hits
+
     def fit(self, texts: list[str], marks: np.ndarray, steps: int = 40, ridge: float = 1e-2) -> Scorer:
         """Newton steps of a ridge logistic regression."""
         x = np.concatenate([np.concatenate([self.features(texts[i : i + 200]) for i in range(0, len(texts), 200)]), np.ones((len(texts), 1))], 1)

@@ -301,6 +301,19 @@ def test_automaton_against_edit_distance():
         assert machine.distance(symbols, np.array([0]), np.array([len(w)]))[0] == want, w
 
 
+def test_terms_with_signs():
+    scorer = toxicity.Scorer(["scum", "loser", "trash", "asshole", "idiots"])
+
+    def terms(text):
+        return np.expm1(scorer.features([text])[0, :2]).round().astype(int).tolist()
+
+    exact = ["loser!!", "scum!", "trash$$$", "!scum", "$cum", "@sshole", "$cum!!", "a$$hole", "!!!a$$hole!", "idiot$", "go!scum", "@scum@x", "(scum!)"]
+    assert {t: terms(t) for t in exact} == {t: [1, 0] for t in exact}
+    assert terms("lser!!") == [0, 1] and terms("trash$$$loser!scum") == [3, 0]
+    assert {t: terms(t) for t in ("", "!!!!", "scam!", "$um", "scu!", "!" * 5000)} == {t: [0, 0] for t in ("", "!!!!", "scam!", "$um", "scu!", "!" * 5000)}
+    assert scorer.features(["you loser ! ! !"])[0, 4] == scorer.features(["you loser"])[0, 4]
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = random.Random(8)
     bad = [" ".join(sorted([*sentence(rng, 30).split(), *rng.sample(["vermin", "loser", "idiots", "wretch"], 2)], key=lambda _: rng.random())) for _ in range(80)]
