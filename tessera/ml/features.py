@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera import roles
 from tessera.functions.scalar import ACTIVATIONS
+from tessera.ml.nearest import nearest
 
 
 def pca(df: DataFrame, k: int, columns=None, whiten: bool = False) -> DataFrame:
@@ -63,24 +64,8 @@ def append_fit_transform(df: DataFrame, estimator, prefix: str = "n_new_col_", o
 
 
 def neighbours(left: DataFrame, right: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    """(key, neighbour, distance) of the k nearest of `right` for each row of `left`, itself left out.
-
-    Candidates come from random-projection buckets, widened until every row has k.
-    """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-
-    a = left.select(F.col(key).alias("_k"), F.col(vector).alias("v"))
-    b = right.select(F.col(key).alias("_k"), F.col(vector).alias("v"))
-    spread = b.select(F.explode(vector_to_array("v")).alias("x")).agg(F.stddev_pop("x")).first()[0] or 1.0
-    wanted, width, reach = a.count(), spread, spread
-    for _ in range(8):
-        model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=width, numHashTables=4, seed=1).fit(b)
-        pairs = model.approxSimilarityJoin(a, b, reach, "distance").select(F.col("datasetA._k").alias(key), F.col("datasetB._k").alias("neighbour"), "distance").where(f"{key} <> neighbour")
-        per = pairs.groupBy(key).agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "neighbour"))), 1, k).alias("near"))
-        if per.where(F.size("near") >= k).count() >= wanted:
-            break
-        width, reach = 2 * width, 2 * reach
-    return per.select(key, F.explode("near").alias("x")).select(key, "x.neighbour", "x.distance")
+    """(key, neighbour, distance) of the k nearest of `right` for each row of `left`, itself left out; exact."""
+    return nearest(left, right, key, vector, k)
 
 
 def smote(df: DataFrame, y: str, minority, key: str, columns=None, percent: int = 100, k: int = 5, h: float = 1.0, seed: int = 0) -> DataFrame:

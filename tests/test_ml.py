@@ -78,6 +78,34 @@ def test_smote_lies_between_neighbours(spark):
     assert len(out) == 40 and all(abs(r["n_b"] - 2 * r["n_a"]) < 1e-6 and 0 <= r["n_a"] <= 57 for r in out)
 
 
+def nearest_by_force(rows, few, k):
+    return {i: [j for _, j in sorted((float(np.sqrt(((v - w) ** 2).sum())), j) for j, w in rows.items() if j != i)[:k]] for i, v in rows.items() if i in few}
+
+
+@pytest.mark.parametrize("values", [1 << 13, 64])
+def test_neighbours_against_brute_force(spark, monkeypatch, values):
+    monkeypatch.setattr("tessera.ml.nearest.BLOCK_VALUES", values)
+    rng = np.random.default_rng(3)
+    # clusters, equal rows, ties on a grid, and a row far beyond all
+    parts = [rng.normal(size=(200, 2)) * 50, rng.integers(0, 8, (200, 2)) * 1.0, np.full((40, 2), 3.0), [[1e9, 1e9]]]
+    rows = dict(enumerate(np.concatenate(parts)))
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in rows.items()], "rid long, n_a double, n_b double")
+    ready = features.VectorAssembler(inputCols=["n_a", "n_b"], outputCol="_v").transform(df)
+    found = {}
+    for r in features.neighbours(ready.where("rid % 3 <> 1"), ready, "rid", "_v", 4).orderBy("distance", "neighbour").collect():
+        found.setdefault(r["rid"], []).append(r["neighbour"])
+    assert found == nearest_by_force(rows, {i for i in rows if i % 3 != 1}, 4)
+
+
+def test_a_row_far_away_has_its_neighbours(spark):
+    # beyond 128 standard deviations, its own distance among them
+    df = spark.range(20_001).select(F.col("id").alias("rid"), F.when(F.col("id") == 20_000, 1e9).otherwise(F.col("id") % 50).alias("n_a"))
+    ready = features.VectorAssembler(inputCols=["n_a"], outputCol="_v").transform(df)
+    found = features.neighbours(ready.where("rid = 20000 or rid < 3"), ready, "rid", "_v", 3).collect()
+    assert sorted(r["neighbour"] for r in found if r["rid"] == 20_000) == [49, 99, 149]
+    assert len(found) == 12
+
+
 def test_elm_learns_a_line(spark, line):
     out = features.ELM(features.mlp_layer(units=15, seed=2)).fit(line, ["n_x"], "y").transform(line)
     assert out.agg(F.avg(F.abs(F.col("prediction") - F.col("y")))).first()[0] < 1.5
