@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import mix, pieces, span_sums, text_buffer
+from tessera.llm.common import mix, pieces, text_buffer
 
 BITS = 18
 DIM = 8
@@ -52,8 +52,12 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> list[tu
             out.append(((word >> shift).astype(np.int32), by_doc))
             # a word that comes twice running is a feature whatever the word is
             pair = mix(np.where(word[:-1] == word[1:], np.uint64(7), word[:-1] * np.uint64(3) + word[1:]))
-            pair_docs = np.minimum(by_doc, len(pair))
-            out.append(((pair >> shift).astype(np.int32), pair_docs))
+            # the last word of a document and the first of the next are no pair
+            own = np.ones(len(pair), bool)
+            edge = by_doc[(by_doc > 0) & (by_doc <= len(pair))]
+            own[edge - 1] = False
+            pair_docs = np.concatenate([[0], np.cumsum(own)])[np.minimum(by_doc, len(pair))]
+            out.append(((pair[own] >> shift).astype(np.int32), pair_docs))
         rolling = wide + np.uint64(1)
         for k in range(2, max(NGRAMS) + 1):
             if len(text) < k:
@@ -132,13 +136,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
     return texts, np.array(marks, np.int64)
 
 
+def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sums of values[offsets[i]:offsets[i + 1]], each added up by itself, so that its rounding is the same in any batch."""
+    out = np.add.reduceat(np.append(values, np.float32(0)).astype(np.float64), offsets)[:-1]
+    return np.where(np.diff(offsets) > 0, out, 0.0)
+
+
 def _score(weights: np.ndarray, bias: float, bits: int):
     def run(batches):
         for batch in pieces(batches, "text", 1 << 20):
             data, offsets = text_buffer(batch.column("text"))
             total, n = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
             for ids, by_doc in features(data, offsets, bits):
-                total += span_sums(weights[ids], by_doc)
+                total += _sums(weights[ids], by_doc)
                 n += np.diff(by_doc)
             z = total / np.maximum(n, 1) + bias
             score = 1 / (1 + np.exp(-np.clip(z, -40, 40)))

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -173,6 +174,24 @@ def test_quality_on_held_out_rows(spark):
     assert none.agg(F.max("_score")).first()[0] == 0.5
 
 
+def test_quality_of_a_text_alone_and_in_a_batch():
+    rng = random.Random(1)
+    texts = [sentence(rng, n) for n in (3, 1, 2, 40, 1, 1, 7)] + ["", " ", "same", "same", "same words", "words same", None, "x"]
+    weights = np.random.default_rng(2).normal(size=1 << quality.BITS).astype(np.float32)
+
+    def scores(some):
+        batch = pa.RecordBatch.from_arrays([pa.array(some, pa.string())], names=["text"])
+        return np.concatenate([b.column("_score").to_numpy() for b in quality._score(weights, 0.1, quality.BITS)([batch])]).tolist()
+
+    alone = [scores([t])[0] for t in texts]
+    assert scores(texts) == alone and scores(texts[::-1]) == alone[::-1]
+    data = [(t or "").encode() for t in texts]
+    spans = quality.features(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    for i, (ids, share) in enumerate(quality.bags(data)):
+        found = np.concatenate([f[o[i] : o[i + 1]] for f, o in spans])
+        assert np.array_equal(np.unique(found), ids) and len(found) == sum(len(f) for f, _ in quality.features(np.frombuffer(data[i], np.uint8), np.array([0, len(data[i])])))
+
+
 def test_patterns_against_brute_force():
     rng = random.Random(2)
     patterns = sorted({bytes(rng.choice(b"abc ") for _ in range(rng.choice([1, 2, 5, 30, 44]))) for _ in range(60)})
