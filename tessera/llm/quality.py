@@ -180,6 +180,9 @@ def score_quality(docs: DataFrame, model, bits: int = BITS) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents whose score reaches the threshold, with their own columns."""
-    scored = score_quality(docs, fit_quality(docs, labels))
+    """The documents whose score reaches the threshold, with their own columns; all of them where no label is usable."""
+    model = fit_quality(docs, labels)
+    if model is None:
+        return docs
+    scored = score_quality(docs, model)
     return scored.where(F.col("_score") >= threshold).select(*docs.columns)

@@ -174,6 +174,14 @@ def test_quality_on_held_out_rows(spark):
     assert none.agg(F.max("_score")).first()[0] == 0.5
 
 
+def test_all_documents_are_good_without_a_model(spark):
+    df = docs_of(spark, ["a b c", "", None])
+    labels = spark.createDataFrame([(0, None, 0), (99, 1, 0), (None, 1, 0), (1, 7, 0)], "doc_id long, quality int, toxic int")
+    for none in (labels, labels.limit(0)):
+        kept = quality.keep_good(df, none)
+        assert kept.columns == df.columns and {*kept.collect()} == {*df.collect()}
+
+
 def test_quality_of_a_text_alone_and_in_a_batch():
     rng = random.Random(1)
     texts = [sentence(rng, n) for n in (3, 1, 2, 40, 1, 1, 7)] + ["", " ", "same", "same", "same words", "words same", None, "x"]
