@@ -230,6 +230,16 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents with the smallest doc_id of their class, and those without a doc_id."""
+    """The documents with the smallest doc_id of their class, and those without a doc_id.
+
+    Of rows that repeat a doc_id one stays: that with the smallest text, an empty one last.
+    """
     classes = near_duplicates(docs, threshold).where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(classes, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(classes, "doc_id", "left_anti").select(*docs.columns)
+    # texts of repeated ids alone are shuffled
+    again = materialize(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id"), "repeated-ids")
+    if again.isEmpty():
+        return kept
+    least = F.min(F.struct((F.coalesce(F.length("text"), F.lit(0)) == 0).alias("_empty"), "text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("_row")
+    first = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(least).select("doc_id", "_row.*").select(*docs.columns)
+    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(first)

@@ -287,6 +287,16 @@ def test_signatures_agree_as_often_as_bags_overlap():
     assert abs(hits / (128 * n) - want) < 4 * (want * (1 - want) / (128 * n)) ** 0.5 + 0.005
 
 
+def test_one_row_stays_of_a_repeated_id(spark):
+    rng = random.Random(12)
+    a, b, c, d = (sentence(rng, 50) for _ in range(4))
+    rows = [(1, a), (1, a), (1, a), (2, a), (3, max(b, c)), (3, min(b, c)), (3, None), (3, ""), (4, d), (5, None), (5, None), (None, d), (None, d)]
+    df = docs_of(spark, [t for _, t in rows], [i for i, _ in rows])
+    kept = near_dup.drop_near_duplicates(df)
+    want = Counter([(1, a), (3, min(b, c)), (4, d), (5, None), (None, d), (None, d)])
+    assert kept.columns == df.columns and Counter((r["doc_id"], r["text"]) for r in kept.collect()) == want
+
+
 def test_components(spark):
     rng = random.Random(6)
     pairs = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(300 + i, 301 + i) for i in range(60)] + [(9, 9)]
