@@ -14,7 +14,6 @@ from tessera.llm.quality import labelled_sample
 
 SAMPLE_ROWS = 12_000
 MAX_TERMS = 400
-MIN_TERM = 4
 FUZZY_FROM = 5
 CONTEXT = 24
 THRESHOLD = 0.7
@@ -101,13 +100,13 @@ class LexiconAutomaton:
         self.best = np.array(best, np.int8)
         self.longest = max((len(t) for t in self.terms), default=0) + edits
 
+    def symbol_of(self, c: str) -> int:
+        """0 ends a word, 1 is a letter that no term has."""
+        return self.symbol.get(LOOKALIKES.get(c, c), 1) if c.isalnum() or c in LOOKALIKES else 0
+
     def classes(self) -> np.ndarray:
-        """Symbol of each code point below SYMBOLS: 0 ends a word, 1 is a letter that no term has."""
-        out = np.zeros(SYMBOLS, np.int32)
-        for c in range(SYMBOLS):
-            if chr(c).isalnum() or chr(c) in LOOKALIKES:
-                out[c] = self.symbol.get(LOOKALIKES.get(chr(c), chr(c)), 1)
-        return out
+        """Symbol of each code point below SYMBOLS; those beyond are looked up as they come."""
+        return np.array([self.symbol_of(chr(c)) for c in range(SYMBOLS)], np.int32)
 
     def distance(self, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Fewest edits from each word to a term, 9 if more than allowed; all words step together."""
@@ -143,14 +142,14 @@ def lowered(text: str) -> str:
 
 
 def learn_terms(texts: list[str], marks: np.ndarray, max_terms: int = MAX_TERMS) -> list[str]:
-    """Words of at least MIN_TERM letters that toxic documents have far more often than others."""
+    """Words that toxic documents have far more often than others, short ones too."""
     import re
 
     split, n = re.compile(r"[^\W_]+"), [0, 0]
     seen = (Counter(), Counter())
     for text, mark in zip(texts, marks.tolist()):
         n[mark] += 1
-        seen[mark].update({w for w in split.findall(lowered(text)) if len(w) >= MIN_TERM and not w.isdigit()})
+        seen[mark].update({w for w in split.findall(lowered(text)) if not w.isdigit()})
     found = []
     for word, hits in seen[1].items():
         odds = (hits + 0.5) / (n[1] + 1) / ((seen[0][word] + 0.5) / (n[0] + 1))
@@ -172,7 +171,11 @@ class Scorer:
         sizes = np.array([len(x) for x in texts], np.int64)
         edges = np.concatenate([[0], np.cumsum(sizes + 1)])
         points = np.frombuffer((" ".join(texts) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
-        symbols = np.where(points < SYMBOLS, self.symbols[np.minimum(points, SYMBOLS - 1)], 1).astype(np.int32)
+        symbols = self.symbols[np.minimum(points, SYMBOLS - 1)]
+        beyond = points >= SYMBOLS
+        if beyond.any():
+            few, which = np.unique(points[beyond], return_inverse=True)
+            symbols[beyond] = np.array([self.automaton.symbol_of(chr(c)) for c in few.tolist()], np.int32)[which]
         inside = symbols > 0
         change = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
         starts, lengths = change[::2], change[1::2] - change[::2]

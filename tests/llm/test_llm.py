@@ -351,6 +351,20 @@ def test_terms_with_signs():
     assert scorer.features(["you loser ! ! !"])[0, 4] == scorer.features(["you loser"])[0, 4]
 
 
+def test_short_terms_and_letters_of_any_script():
+    rng = random.Random(3)
+    short, wide = ["ass", "git"], ["바보", "くずやろう", "笨蛋", "\U00020bb7\U00020bb8x"]
+    bad = [sentence(rng, 30) + f" {w}!" for w in (short + wide) * 5]
+    good = [sentence(rng, 30) for _ in range(200)]
+    terms = toxicity.learn_terms(bad + good, np.array([1] * len(bad) + [0] * len(good)))
+    assert {*short, *wide} <= {*terms}
+    scorer = toxicity.Scorer(short + wide)
+    texts = [*short, *wide, "(a$$)", "\u3000笨蛋\u3002", "\U0001f600바보\U0001f600"]
+    assert scorer.features(texts)[:, 0].tolist() == [np.log1p(1)] * len(texts)
+    assert (scorer.features(["くずやろ", "くずやろうん", "くずたろう"])[:, 1] > 0).all()
+    assert not scorer.features(["gi", "gut", "ases", "笨", "바보들", "한국어", ""])[:, :4].any()
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = random.Random(8)
     bad = [" ".join(sorted([*sentence(rng, 30).split(), *rng.sample(["vermin", "loser", "idiots", "wretch"], 2)], key=lambda _: rng.random())) for _ in range(80)]
