@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PIECE_BYTES = 4 << 20
+HEAVY_KEYS = 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +40,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_counted(rows: DataFrame, facts: DataFrame, key: str, count: str, keep: bool = False) -> DataFrame:
+    """rows joined with facts, a written table of one row a key that holds how many rows each key has (`count`).
+
+    Keys of more than a HEAVY_KEYS-th of all rows are fewer than HEAVY_KEYS and are broadcast; the rows of the others
+    meet by a shuffle, in which no key is larger than that.
+    """
+    limit = (facts.agg(F.sum(count)).first()[0] or 0) // HEAVY_KEYS
+    out = facts.columns if keep else [c for c in facts.columns if c != count]
+    heavy, light = facts.where(F.col(count) > limit).select(*out), facts.where(F.col(count) <= limit).select(*out)
+    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key)
+    return rows.join(F.broadcast(heavy), key).unionByName(rest)
+
+
 def crc_mod(key: str, n: int) -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % n
 

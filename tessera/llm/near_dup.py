@@ -9,14 +9,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD_TABLE, materialize, mix, pieces, text_buffer
+from tessera.llm.common import WORD_TABLE, join_counted, materialize, mix, pieces, text_buffer
 from tessera.llm.components import connected_components
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 26, 5
-#: Rounds that compare one member of each component of a bucket with the others; what is left is compared in full.
-HUB_ROUNDS = 3
+#: Shingles and documents that one task compares at once; larger groups are dealt out in chunks.
+CHUNK_ELEMENTS = 2 << 20
+CHUNK_MEMBERS = 4096
+#: Members, about, that every chunk of a dealt-out group holds.
+PIVOTS = 8
 _UNIT = 2.0**-53
 _SLICE = 1 << 20
 
@@ -137,16 +140,26 @@ def band_keys(signatures: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> n
     return out.astype(np.int64)
 
 
+def _keys(data: np.ndarray, offsets: np.ndarray) -> list[bytes | None]:
+    """A digest of each text's words in turn, None without words."""
+    raw = data.tobytes()
+    words = (b" ".join(raw[a:b].translate(WORD_TABLE).split()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()))
+    return [hashlib.md5(w).digest() if w else None for w in words]
+
+
+def _tag(key: bytes) -> int:
+    return int.from_bytes(key[:7], "big")
+
+
 def _sign(batches):
-    """(doc_id, key of the word sequence or null, elements, bands) of each document."""
+    """(doc_id, key of the word sequence or null, number of shingles, bands) of each document."""
     for batch in pieces(batches, "text", 4 << 20):
         data, offsets = text_buffer(batch.column("text"))
         n = batch.num_rows
         doc, value, count = shingle_bags(data, offsets)
         bands = band_keys(bag_min_hash(doc, value, count, n))
         size = np.bincount(doc, count, n).astype(np.int64)
-        raw = data.tobytes()
-        keys = [hashlib.md5(b" ".join(raw[a:b].translate(WORD_TABLE).split())).digest() if s else None for a, b, s in zip(offsets[:-1].tolist(), offsets[1:].tolist(), size.tolist())]
+        keys = _keys(data, offsets)
         some = np.flatnonzero(size)
         lists = pa.ListArray.from_arrays(
             pa.array(np.concatenate([[0], np.cumsum(np.where(size > 0, BANDS, 0))]), pa.int32()), pa.array(bands[some].ravel(), pa.int64())
@@ -154,8 +167,12 @@ def _sign(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(size), lists], names=["doc_id", "key", "n", "bands"])
 
 
-def _elements(batches):
-    """(doc_id, elements): a number for the k-th occurrence of each shingle, so that sets of them measure bags."""
+def _bags(batches):
+    """(t, hub, rep, elements) of each text and each task `to` that it goes to; texts whose words are not those of `tag` give none.
+
+    An element is a number for the k-th occurrence of a shingle, so that sets of them measure bags.
+    """
+    names = ["t", "hub", "rep", "elements"]
     for batch in pieces(batches, "text", 4 << 20):
         data, offsets = text_buffer(batch.column("text"))
         doc, value, count = shingle_bags(data, offsets)
@@ -164,65 +181,227 @@ def _elements(batches):
             nth = (np.arange(count.sum()) - first).astype(np.uint64)
             elements = mix(np.repeat(value, count) + nth * np.uint64(0xD1B54A32D192ED03)).astype(np.int64)
         sizes = np.bincount(doc, count, batch.num_rows).astype(np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(elements))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], names=["doc_id", "elements"])
+        starts = np.cumsum(sizes) - sizes
+        keys, tags = _keys(data, offsets), batch.column("tag").to_pylist()
+        row, t, hub = [], [], []
+        for i, to in enumerate(batch.column("to").to_pylist()):
+            if keys[i] is not None and _tag(keys[i]) == tags[i]:
+                row += [i] * len(to)
+                t += [x["t"] for x in to]
+                hub += [x["hub"] for x in to]
+        if not row:
+            continue
+        row, t, hub, ids = np.array(row), np.array(t, np.int64), np.array(hub, np.int64), batch.column("rep").to_numpy()
+        ends, at = np.cumsum(sizes[row]), 0
+        while at < len(row):
+            stop = max(at + 1, int(np.searchsorted(ends, ends[at] + (1 << 20), "right")))
+            own = row[at:stop]
+            k = sizes[own]
+            flat = elements[np.repeat(starts[own] - (np.cumsum(k) - k), k) + np.arange(k.sum())]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(k)]), pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([pa.array(t[at:stop]), pa.array(hub[at:stop]), pa.array(ids[own]), lists], names=names)
+            at = stop
+
+
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest node that each of n nodes reaches by the links (a, b)."""
+    root = np.arange(n)
+    while True:
+        best = root.copy()
+        np.minimum.at(best, a, root[b])
+        np.minimum.at(best, b, root[a])
+        best = best[best]
+        if (best == root).all():
+            return root
+        root = best
+
+
+def _dense_links(m: int, run: np.ndarray, member: np.ndarray, size: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links of one group of m bags, from its shared elements (number of each, sorted; member that has it).
+
+    Elements that few have are counted pair by pair, the others as a product of blocks of a membership matrix.
+    """
+    same = np.zeros((m, m), np.float32)
+    df = np.bincount(run)
+    few = df[run] <= 8
+    at = np.flatnonzero(few)
+    for lag in range(1, 8):
+        at = at[at + lag < len(run)]
+        at = at[run[at] == run[at + lag]]
+        same += np.bincount(member[at] * m + member[at + lag], minlength=m * m).reshape(m, m).astype(np.float32)
+    same += same.T
+    many, member = run[~few], member[~few]
+    if len(many):
+        column = np.cumsum(np.concatenate([[0], many[1:] != many[:-1]]))
+        for start in range(0, int(column[-1]) + 1, 1024):
+            lo, hi = np.searchsorted(column, [start, start + 1024])
+            has = np.zeros((m, 1024), np.float32)
+            has[member[lo:hi], column[lo:hi] - start] = 1
+            same += has @ has.T
+    out_a, out_b = [], []
+    for start in range(0, m, 256):
+        block = same[start : start + 256].astype(np.float64)
+        a, b = np.nonzero(block >= threshold * (size[start : start + 256, None] + size[None] - block) - 1e-9)
+        a += start
+        out_a.append(a[a < b])
+        out_b.append(b[a < b])
+    return np.concatenate(out_a), np.concatenate(out_b)
 
 
-def _verified(pairs: DataFrame, elements: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose bags have a Jaccard similarity of at least the threshold."""
-    left = elements.select(F.col("doc_id").alias("a"), F.col("elements").alias("_x"))
-    right = elements.select(F.col("doc_id").alias("b"), F.col("elements").alias("_y"))
-    both = pairs.join(right, "b").join(left, "a")
-    same = F.size(F.array_intersect("_x", "_y"))
-    return both.where(same >= threshold * (F.size("_x") + F.size("_y") - same) - 1e-9).select("a", "b")
+def _compare(threshold: float):
+    """Of some groups of bags: a forest (a, b) of the links at the threshold between any two bags of a group."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(table: pa.Table) -> pa.Table:
+        hub, rep = table.column("hub").to_numpy(), table.column("rep").to_numpy()
+        order = np.lexsort((rep, hub))
+        new = np.ones(len(order), bool)
+        new[1:] = (hub[order[1:]] != hub[order[:-1]]) | (rep[order[1:]] != rep[order[:-1]])
+        order = order[new]
+        lists = table.column("elements").combine_chunks()
+        sizes = np.diff(lists.offsets.to_numpy())[order].astype(np.int64)
+        elements = lists.take(pa.array(order)).flatten().to_numpy().view(np.uint64)
+        hub, rep = hub[order], rep[order]
+        group = np.cumsum(np.concatenate([[0], hub[1:] != hub[:-1]]))
+        members = np.bincount(group)
+        least = np.minimum.reduceat(sizes, np.cumsum(members) - members)[group]
+        bag = np.repeat(np.arange(len(rep)), sizes)
+        with np.errstate(over="ignore"):
+            key = elements ^ mix(group.astype(np.uint64) + np.uint64(1))[bag]
+        # what a bag shares with others of its group bounds what it shares with any one of them
+        need = threshold / (1 + threshold) * (sizes + np.maximum(least, threshold * sizes)) - 1e-6
+        while True:
+            order = np.argsort(key)
+            key, bag = key[order], bag[order]
+            first = np.ones(len(key), bool)
+            first[1:] = key[1:] != key[:-1]
+            number = np.cumsum(first) - 1
+            shared = np.bincount(number)[number] > 1 if len(key) else first
+            left = np.bincount(bag[shared], minlength=len(rep))
+            use = shared & (left >= need)[bag]
+            done = use.sum() > 0.9 * len(use)
+            key, bag, number = key[use], bag[use], number[use]
+            if done or not len(key):
+                break
+        order = np.argsort(group[bag], kind="stable")
+        number, bag = number[order], bag[order]
+        place = np.arange(len(rep)) - (np.cumsum(members) - members)[group]
+        small = members <= 16
+        base = np.cumsum(np.where(small, members * members, 0)) - np.where(small, members * members, 0)
+        counts = np.zeros(int((members * members)[small].sum()), np.int64)
+        at = np.flatnonzero(small[group[bag]]) if len(bag) else np.zeros(0, np.int64)
+        for lag in range(1, 16):
+            at = at[at + lag < len(bag)]
+            at = at[number[at] == number[at + lag]]
+            if not len(at):
+                break
+            x, y, g = place[bag[at]], place[bag[at + lag]], group[bag[at]]
+            counts += np.bincount(base[g] + np.minimum(x, y) * members[g] + np.maximum(x, y), minlength=len(counts))
+        slot = np.flatnonzero(counts)
+        g = np.flatnonzero(small)[np.searchsorted(base[small], slot, "right") - 1] if len(slot) else slot
+        start = np.cumsum(members) - members
+        x, y = start[g] + (slot - base[g]) // members[g], start[g] + (slot - base[g]) % members[g]
+        near = counts[slot] >= threshold * (sizes[x] + sizes[y] - counts[slot]) - 1e-9
+        out_a, out_b = [x[near]], [y[near]]
+        edges = np.searchsorted(group[bag], np.arange(len(members) + 1)) if len(bag) else np.zeros(len(members) + 1, np.int64)
+        for g in np.flatnonzero(~small & (np.diff(edges) > 0)).tolist():
+            lo, hi = edges[g], edges[g + 1]
+            some, own = np.unique(bag[lo:hi], return_inverse=True)
+            runs = np.cumsum(np.concatenate([[0], number[lo + 1 : hi] != number[lo : hi - 1]]))
+            a, b = _dense_links(len(some), runs, own, sizes[some], threshold)
+            out_a.append(some[a])
+            out_b.append(some[b])
+        root = _roots(len(rep), np.concatenate(out_a), np.concatenate(out_b))
+        tail = np.flatnonzero(root != np.arange(len(rep)))
+        return pa.table({"a": rep[tail], "b": rep[root[tail]]}, schema=schema)
+
+    return run
+
+
+def _compared(docs: DataFrame, to: DataFrame, threshold: float, name: str) -> DataFrame:
+    """Links (a, b) found in the tasks that `to` (rep, tag, t, hub) deals documents to; a text travels once, its bag once a task."""
+    to = to.groupBy("rep").agg(F.first("tag").alias("tag"), F.collect_list(F.struct("t", "hub")).alias("to"))
+    bags = docs.withColumnRenamed("doc_id", "rep").join(to, "rep").mapInArrow(_bags, "t long, hub long, rep long, elements array<long>")
+    return materialize(bags.groupBy("t").applyInArrow(_compare(threshold), "a long, b long"), name)
+
+
+def _across(docs: DataFrame, large: DataFrame, parts: DataFrame, threshold: float) -> DataFrame | None:
+    """Links between chunks of groups that were dealt out, None if there is nothing to compare.
+
+    `large` is (hub, rep, n, tag, k). A group whose members are one component is done. Of the others, members that share
+    too few elements with all others together to link with any are left out; then those outside the group's largest
+    component are compared with all, chunk by chunk.
+    """
+    large = large.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep")).drop("component")
+    large = materialize(large, "dealt")
+    by_part = large.groupBy("hub", "part").agg(F.count("*").alias("_c"), F.min("n").alias("_m"))
+    open_ = by_part.groupBy("hub").agg(F.max(F.struct("_c", "part")).alias("_top"), F.count("*").alias("_parts"), F.min("_m").alias("least"), F.sum("_c").alias("_rows"))
+    open_ = materialize(open_.where("_parts > 1").select("hub", F.col("_top.part").alias("top"), "least", "_rows"), "open-groups")
+    large = materialize(join_counted(large, open_, "hub", "_rows"), "open-members")
+    if large.isEmpty():
+        return None
+    whole = docs.withColumnRenamed("doc_id", "rep").join(large.groupBy("rep").agg(F.first("tag").alias("tag"), F.collect_list(F.struct(F.col("hub").alias("t"), "hub")).alias("to")), "rep")
+    bags = materialize(whole.mapInArrow(_bags, "t long, hub long, rep long, elements array<long>").select("hub", "rep", F.explode("elements").alias("e")), "elements").distinct()
+    again = bags.groupBy("hub", "e").agg(F.count("*").alias("_c")).where("_c > 1").drop("_c")
+    held = bags.join(again, ["hub", "e"]).groupBy("hub", "rep").agg(F.count("*").alias("held"))
+    need = threshold / (1 + threshold) * (F.col("n") + F.greatest("least", threshold * F.col("n"))) - 1e-6
+    alive = materialize(large.join(held, ["hub", "rep"]).where(F.col("held") >= need), "alive")
+    few = alive.where("part <> top").groupBy("hub").agg(F.greatest(F.ceil(F.sum("n") / CHUNK_ELEMENTS), F.ceil(F.count("*") / CHUNK_MEMBERS)).cast("int").alias("ks"))
+    few = materialize(few, "outside")
+    if few.isEmpty():
+        return None
+    rows = materialize(few.join(alive.groupBy("hub").agg(F.count("*").alias("_rows")), "hub"), "compared-groups")
+    alive = join_counted(alive, rows, "hub", "_rows")
+    i, j = F.pmod(F.xxhash64("rep"), "ks").cast("int"), F.pmod(F.xxhash64("rep", "hub"), "k").cast("int")
+    small = alive.where("part <> top").select("*", i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j"))
+    every = alive.select("*", F.explode(F.sequence(F.lit(0), F.col("ks") - 1)).alias("i"), j.alias("j"))
+    to = small.unionByName(every).select("rep", "tag", F.xxhash64("hub", "i", "j").alias("t"), "hub")
+    return _compared(docs, to, threshold, "links-across")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, class_id): documents linked by a weighted Jaccard similarity of five-word shingles of the threshold.
+    """(doc_id, class_id): documents linked, in steps, by a weighted Jaccard similarity of five-word shingles of the threshold.
+
+    Texts of the same words are one class before anything else, so copies cost one signature each and no comparison.
+    Documents that share a band are a bucket; buckets with one smallest document are a group, and any two of a group
+    are compared, in one task. A group of more than CHUNK_MEMBERS documents or CHUNK_ELEMENTS shingles is dealt out in
+    chunks that all hold some pivots; documents that the pivots did not bring together are then compared across chunks,
+    but for those whose shingles prove that they link with nothing more. No bucket is capped, and no pair is shuffled.
 
-    Texts of the same words are one class before anything else, so copies cost one signature each and no pairs. In a
-    bucket of documents that share a band, the smallest is compared with the others, then one member of each component
-    with the members of other components; buckets whose members are one component are done, and what is left is
-    compared pair by pair, so that no bucket is capped and no pair of one component is made. A document without words
-    (null or empty text) is its own class; a null doc_id is passed over; rows that repeat a doc_id share a class.
+    A document without words (null or empty text) is its own class; a null doc_id is passed over. Rows that repeat a
+    doc_id share a class: of their texts with words, that with the least hash of its words is compared. Other columns
+    are not read; no rows give no rows.
     """
     docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text")
     signs = materialize(docs.mapInArrow(_sign, "doc_id long, key binary, n long, bands array<long>"), "signatures")
-    named = signs.where("key is not null")
+    signs = signs.withColumn("own", F.lit(True))
+    again = materialize(signs.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select("doc_id"), "repeated-ids")
+    if not again.isEmpty():
+        least = signs.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("key").alias("_least"))
+        signs = signs.join(least, "doc_id", "left").withColumn("own", F.col("_least").isNull() | F.coalesce(F.col("key") == F.col("_least"), F.lit(False)))
+        signs = materialize(signs.withColumn("key", F.coalesce("_least", "key")).drop("_least"), "one-text-an-id")
+    named = signs.where("key is not null and own")
     reps = named.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     reps = materialize(reps, "representatives")
-    members = reps.select("rep", "n", F.explode("bands").alias("band"))
-    crowded = members.groupBy("band").agg(F.count("*").alias("_c"), F.min("rep").alias("hub")).where("_c > 1").drop("_c")
-    members = materialize(members.join(crowded, "band"), "members")
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    elements = materialize(docs.join(wanted, "doc_id").mapInArrow(_elements, "doc_id long, elements array<long>").dropDuplicates(["doc_id"]), "elements")
-    sized = f"least(n, m) >= {threshold} * greatest(n, m)"
-    sizes = members.groupBy("rep").agg(F.first("n").alias("m"))
-    pairs = members.where("rep > hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"), "n").distinct()
-    pairs = pairs.join(sizes.withColumnRenamed("rep", "a"), "a").where(sized).select("a", "b")
-    links = materialize(_verified(pairs, elements, threshold), "links")
-    # each bucket's hub is through with its bucket
-    left = members.where("rep > hub").select("band", "rep", "n")
-    parts = None
-    for turn in range(HUB_ROUNDS + 1):
-        parts = materialize(connected_components(links), "components")
-        left = left.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("component", "rep")).drop("component")
-        open_ = left.groupBy("band").agg(F.min("part").alias("_p"), F.max("part").alias("_q")).where("_p < _q").select("band")
-        left = materialize(left.join(open_, "band"), "left")
-        if left.isEmpty():
-            break
-        if turn < HUB_ROUNDS:
-            hubs = left.groupBy("band", "part").agg(F.min("rep").alias("hub"))
-        else:
-            hubs = left.select("band", "part", F.col("rep").alias("hub"))
-        hubs = hubs.join(sizes.withColumnRenamed("rep", "hub"), "hub").withColumnRenamed("part", "_part")
-        pairs = left.join(hubs, "band").where(f"part <> _part and rep <> hub and {sized}")
-        pairs = pairs.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-        links = materialize(links.unionByName(_verified(pairs, elements, threshold)), "links")
-        if turn == HUB_ROUNDS:
-            parts = materialize(connected_components(links), "components")
-            break
-        left = left.join(hubs.select("band", F.col("hub").alias("rep")), ["band", "rep"], "left_anti").select("band", "rep", "n")
+    members = reps.select("rep", "n", F.conv(F.hex(F.expr("substring(key, 1, 7)")), 16, 10).cast("long").alias("tag"), F.explode("bands").alias("band"))
+    crowded = members.groupBy("band").agg(F.count("*").alias("_rows"), F.min("rep").alias("hub")).where("_rows > 1")
+    groups = join_counted(members, materialize(crowded, "buckets"), "band", "_rows").select("hub", "rep", "n", "tag").distinct()
+    groups = materialize(groups, "groups")
+    sizes = groups.groupBy("hub").agg(F.greatest(F.ceil(F.sum("n") / CHUNK_ELEMENTS), F.ceil(F.count("*") / CHUNK_MEMBERS)).cast("int").alias("k"), F.count("*").alias("_rows"))
+    sizes = materialize(sizes, "group-sizes")
+    tasks = max(1, -(-(groups.agg(F.sum("n")).first()[0] or 0) // CHUNK_ELEMENTS))
+    groups = join_counted(groups, sizes, "hub", "_rows", keep=True)
+    pivot = (F.col("rep") == F.col("hub")) | (F.pmod(F.xxhash64(F.lit(3), "rep", "hub"), "_rows") < PIVOTS)
+    own = F.array(F.pmod(F.xxhash64("rep", "hub"), "k").cast("int"))
+    chunks = F.when(pivot & (F.col("k") > 1), F.sequence(F.lit(0), F.col("k") - 1)).otherwise(own)
+    t = F.when(F.col("k") > 1, F.xxhash64("hub", "chunk")).otherwise(F.pmod(F.xxhash64("hub"), F.lit(tasks)))
+    to = groups.withColumn("chunk", F.explode(chunks)).select("rep", "tag", t.alias("t"), "hub")
+    links = _compared(docs, to, threshold, "links")
+    parts = materialize(connected_components(links), "components")
+    large = groups.where("k > 1").drop("_rows")
+    more = _across(docs, large, parts, threshold)
+    if more is not None:
+        parts = materialize(connected_components(links.unionByName(more)), "components")
     classes = reps.select("key", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     classes = classes.select("key", F.coalesce("component", "rep").alias("_class"))
     out = signs.select("doc_id", "key").join(classes, "key", "left")
