@@ -40,6 +40,31 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one operator's run in the shared folder, removed together when it is done."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root = spark, shared_path(spark, name)
+
+    def path(self, name: str) -> str:
+        return f"{self.root}/{name}"
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.option("compression", "zstd").parquet(self.path(name))
+        return self.spark.read.schema(df.schema).parquet(self.path(name))
+
+    def close(self) -> None:
+        jvm = self.spark._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.root)
+        root.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(root, True)
+
+
+def free_prefix(columns: list[str]) -> str:
+    """Underscores that no column's name begins with."""
+    most = max((len(c) - len(c.lstrip("_")) for c in columns), default=0)
+    return "_" * (most + 1)
+
+
 def join_counted(rows: DataFrame, facts: DataFrame, key: str, count: str, keep: bool = False) -> DataFrame:
     """rows joined with facts, a written table of one row a key that holds how many rows each key has (`count`).
 

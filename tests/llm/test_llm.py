@@ -272,6 +272,78 @@ def test_near_duplicates_against_brute_force(spark, texts):
     assert near_dup.near_duplicates(docs_of(spark, [])).count() == 0
 
 
+def near_copies(rng, text, n, rates=(0.0, 0.06)):
+    return [" ".join(w if rng.random() > rate else f"z{rng.randrange(10**6)}" for w in text.split()) for _ in range(n) for rate in [rng.uniform(*rates)]]
+
+
+def test_near_duplicates_dealt_out_in_chunks(spark, monkeypatch):
+    """Groups larger than a chunk: the pivots' components, what is left out, and what is compared across chunks."""
+    rng = random.Random(21)
+    base = sentence(rng, 150)
+    bridge = near_copies(rng, base, 1, (0.05, 0.05))[0]
+    rows = [*near_copies(rng, base, 60), *near_copies(rng, bridge, 20, (0.0, 0.03)), *[sentence(rng, 30) for _ in range(20)], base, base]
+    monkeypatch.setattr(near_dup, "CHUNK_MEMBERS", 9)
+    monkeypatch.setattr(near_dup, "CHUNK_ELEMENTS", 1500)
+    for pivots in (0, 2):
+        monkeypatch.setattr(near_dup, "PIVOTS", pivots)
+        found = {r[0]: r[1] for r in near_dup.near_duplicates(docs_of(spark, rows)).collect()}
+        assert found == brute_classes(list(enumerate(rows)))
+
+
+def test_near_duplicate_recall():
+    """Pairs of a band, by similarity, over many random pairs: at 0.8 and above more than nine in ten meet."""
+    rng = np.random.default_rng(9)
+    for want in (0.8, 0.85, 0.9, 0.95):
+        n, size = 300, 200
+        gone = round(size * (1 - want) / (1 + want))
+        met = 0
+        for _ in range(n):
+            values = np.sort(rng.integers(0, 1 << 62, size + gone).astype(np.uint64))
+            use = rng.permutation(size + gone)
+            a, b = np.sort(use[:size]), np.sort(use[gone:])
+            rows = [np.full(size, 0), np.full(size, 1)], [values[a], values[b]], [np.ones(size, np.int64)] * 2
+            bands = near_dup.band_keys(near_dup.bag_min_hash(*(np.concatenate(x) for x in rows), 2))
+            met += bool((bands[0] == bands[1]).any())
+        assert met >= 0.99 * n
+
+
+def test_comparison_in_a_task_against_sets():
+    """Small and large groups, an element that all or few have, repeated rows, a bag of nothing."""
+    rng = random.Random(31)
+    rows = []
+    for hub, m in enumerate([2, 3, 16, 17, 40, 5]):
+        base = [rng.randrange(1 << 50) for _ in range(60)]
+        for k in range(m):
+            rows.append((hub, 100 * hub + k, sorted({x if rng.random() > 0.07 else rng.randrange(1 << 50) for x in base[: rng.choice([60, 55, 58])]})))
+    rows += [rows[0], (9, 901, [])]
+    table = pa.table({"hub": [r[0] for r in rows], "rep": [r[1] for r in rows], "elements": pa.array([r[2] for r in rows], pa.list_(pa.int64()))})
+    found = near_dup._compare(0.8)(table).to_pydict()
+    root = {}
+    for hub, rep, _ in rows:
+        root[hub, rep] = rep
+    changed = True
+    while changed:
+        changed = False
+        for h, a, x in rows:
+            for g, b, y in rows:
+                if h == g and root[h, a] < root[h, b] and len({*x} & {*y}) >= 0.8 * len({*x} | {*y}):
+                    root[h, b], changed = root[h, a], True
+    assert dict(zip(found["a"], found["b"])) == {rep: r for (_, rep), r in root.items() if rep != r}
+
+
+def test_a_repeated_id_has_one_class(spark):
+    rng = random.Random(14)
+    a, b, c = (sentence(rng, 40) for _ in range(3))
+    df = docs_of(spark, [a, b, a, b, c, c, None, None, "", a], [5, 5, 3, 7, 9, 9, 9, None, 11, 5])
+    found = near_dup.near_duplicates(df)
+    classes = {}
+    for r in found.collect():
+        classes.setdefault(r[0], set()).add(r[1])
+    assert found.count() == 9 and all(len(x) == 1 for x in classes.values())
+    # one of the texts of 5 is compared, so it has the class of 3 or of 7
+    assert classes[9] == {9} and classes[11] == {11} and classes[3] == {3} and (classes[5], classes[7]) in (({3}, {7}), ({5}, {5}))
+
+
 def test_signatures_agree_as_often_as_bags_overlap():
     rng = np.random.default_rng(3)
     values = rng.integers(0, 1 << 62, 40).astype(np.uint64)
