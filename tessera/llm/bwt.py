@@ -27,18 +27,19 @@ def suffix_order(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     key = np.zeros(n, np.int64)
     for k in range(_PACK):
         key = (key << 9) | np.where(left > k, padded[k : k + n], 0)
-    span = _PACK
+    span, longest = _PACK, int(lengths.max()) if n else 0
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ranked = key[order]
         new = np.concatenate([[0], np.cumsum(ranked[1:] != ranked[:-1])]) if n else np.zeros(0, np.int64)
         rank = np.empty(n, np.int64)
         rank[order] = new
-        if span > (lengths.max() if n else 0):
+        if span > longest:
             break
         ahead = np.minimum(np.arange(n) + span, max(n - 1, 0))
         key = rank * (n + 1) + np.where(left >= span, rank[ahead] + 1, 0)
         span *= 2
+    order = np.argsort(rank * n + np.arange(n))
     before = np.where(offset > 0, symbol[np.arange(n) - 1], END) if n else symbol
     return owner[order], offset[order], before[order].astype(np.uint16)
 
@@ -66,17 +67,18 @@ def walk(symbols: np.ndarray, lf: np.ndarray, ends: np.ndarray) -> tuple[np.ndar
     return owner, length[owner] - left
 
 
-def merge(symbols: np.ndarray, shard: np.ndarray, lf: np.ndarray, depth: int, alone: np.ndarray):
+def merge(symbols: np.ndarray, shard: np.ndarray, lf: np.ndarray, depth: int, alone: np.ndarray, rows: np.ndarray | None = None):
     """Rows whose next `depth` symbols also start elsewhere, and the repeated interval that each belongs to.
 
     The interleave of the shards' rows is refined symbol by symbol: from the order by h symbols, a stable sort by the
     symbol before each suffix gives the order by h + 1 symbols, as each transform keeps its own rows in order. Two
     neighbours part in the round that gives their common prefix; rows that are alone in their interval (and marked
     `alone`) stay alone when they are extended, so they take no further part, and neither do rows that reach an END.
+    Where only some `rows` are asked for, the others are left out of intervals and counts from the start.
     Returns (rows, interval of each, common prefix with the row before, at most `depth`).
     """
-    rows, block = np.arange(len(symbols)), np.zeros(len(symbols), np.int64)
-    common = np.zeros(len(symbols), np.int64)
+    rows = np.arange(len(symbols)) if rows is None else rows
+    block, common = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
     for h in range(depth):
         before = symbols[rows]
         on = before != END

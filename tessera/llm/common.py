@@ -20,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the setting is unset."""
+    """The folder that driver and executors share; one of our own where the setting is unset and all run on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -59,6 +61,11 @@ class Scratch:
         root.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(root, True)
 
 
+def plain(columns: list[str]) -> list[Column]:
+    """The columns of these names, whatever signs the names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
 def free_prefix(columns: list[str]) -> str:
     """Underscores that no column's name begins with."""
     most = max((len(c) - len(c.lstrip("_")) for c in columns), default=0)
