@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera import roles
 from tessera.functions import dates, scalar
 from tessera.ml import ensemble, features, folds, learners
 from tessera.operators import clean, encode, evaluate, order, profile, rows, sample, serialize, sets
@@ -78,6 +81,9 @@ over("min_y_floor", "v_orders", lambda df: clean.floor_at(df.select("rid", "n_to
 over("compress_size", "v_part", lambda df: spark_types(clean.compress_size(df.drop("c_brand", "c_type"), 1)), "select * from (values ('rid', 'smallint', {n}), ('n_size', 'tinyint', {n}), ('n_retail', 'float', {n})) t(column_name, kind, n)".replace("{n}", "(select count(*) from v_part)"))
 
 
+over("compress_values", "v_part", lambda df: clean.compress_size(df.select("rid", "n_size", "n_retail"), 1).select(F.col("rid").cast("long").alias("rid"), F.col("n_size").cast("long").alias("n_size"), F.round(F.col("n_retail").cast("double"), 2).alias("n_retail")), "select rid, n_size::bigint as n_size, round(n_retail::float::double, 2) as n_retail from v_part")
+
+
 def spark_types(df: DataFrame) -> DataFrame:
     """(column_name, kind, n): a table's types and rows."""
     n = df.count()
@@ -91,13 +97,20 @@ over(
     "one_hot", "v_lineitem", lambda df: encode.one_hot_encode(df.select("c_flag", "b_status", "n_qty")).groupBy().agg(*[F.sum(c).alias(c) for c in ("oh_c_flag_0", "oh_c_flag_1", "oh_c_flag_2", "oh_b_status_0", "oh_b_status_1", "n_qty")]),
     "select sum((c_flag = 'A')::int)::double as oh_c_flag_0, sum((c_flag = 'N')::int)::double as oh_c_flag_1, sum((c_flag = 'R')::int)::double as oh_c_flag_2, sum((b_status = 'F')::int)::double as oh_b_status_0, sum((b_status = 'O')::int)::double as oh_b_status_1, sum(n_qty) as n_qty from v_lineitem",
 )
+over("one_hot_rows", "v_part", lambda df: encode.one_hot_encode(df.select("rid", "c_brand")).select("rid", "oh_c_brand_0", "oh_c_brand_3"), "select rid, (r = 1)::int::double as oh_c_brand_0, (r = 4)::int::double as oh_c_brand_3 from (select p_partkey as rid, dense_rank() over (order by p_brand) as r from part) t")
+_EDGE = "rtrim(rtrim(printf('%.3f', {}), '0'), '.')"
+over(
+    "bin_labels", "v_part", lambda df: encode.bin_columns(df.select("rid", "n_size"), n_bins=7, drop=True),
+    f"""select rid, '(' || {_EDGE.format("case when k = 0 then lo - (hi - lo) * 0.001::double else lo + (hi - lo) / 7 * k end")} || ', ' || {_EDGE.format("case when k = 6 then hi else lo + (hi - lo) / 7 * (k + 1) end")} || ']' as c_binned_n_size
+    from (select rid, lo, hi, greatest(ceil((n_size - lo) * 7 / (hi - lo)) - 1, 0) as k from v_part, (select min(n_size)::double as lo, max(n_size)::double as hi from v_part) s) t""",
+)
 over("bin_equal_width", "v_part", lambda df: encode.bin_columns(df.select("rid", "n_retail"), n_bins=7, labels=False, drop=True), "select rid, cast(greatest(ceil((n_retail - lo) * 7 / (hi - lo)) - 1, 0) as int) as c_binned_n_retail from v_part, (select min(n_retail) lo, max(n_retail) hi from v_part) s")
-over("group_rare_limit", "v_docs", lambda df: encode.group_rare(df.select("rid", "c_source", "c_lang"), ["c_lang"], limit=60), "select rid, c_source, case when count(*) over (partition by c_lang) <= 60 then 'rare' else c_lang end as c_lang from v_docs")
+over("group_rare_limit", "v_texts", lambda df: encode.group_rare(df.select("rid", "c_source", "c_lang"), ["c_lang"], limit=130), "select rid, c_source, case when count(*) over (partition by c_lang) <= 130 then 'rare' else c_lang end as c_lang from v_texts")
 over("group_rare_topx", "v_part", lambda df: encode.group_rare(df.select("rid", "c_brand"), top_x=10), "select rid, case when c_brand in (select c_brand from v_part group by 1 order by count(*) desc, c_brand limit 10) then c_brand else 'rare' end as c_brand from v_part")
-over("categorical_outliers_const", "v_docs", lambda df: encode.categorical_outliers(df.select("rid", "c_lang"), min_size=0.2, fill_mode="others"), "select rid, case when count(*) over (partition by c_lang) <= 0.2 * count(*) over () then 'others' else c_lang end as c_lang from v_docs")
-over("categorical_outliers_mode", "v_docs", lambda df: encode.categorical_outliers(df.select("rid", "c_lang"), min_size=0.2), "select rid, case when count(*) over (partition by c_lang) <= 0.2 * count(*) over () then (select c_lang from v_docs group by 1 order by count(*) desc, 1 limit 1) else c_lang end as c_lang from v_docs")
-over("count_of_samples", "v_docs", lambda df: encode.cats_to_count_of_samples(df.select("rid", "c_lang", "c_source")), "select rid, count(*) over (partition by c_lang) as c_lang, count(*) over (partition by c_source) as c_source from v_docs")
-over("ratio_of_samples", "v_docs", lambda df: rounded(encode.cats_to_ratio_of_samples(df.select("rid", "c_lang")), "c_lang"), "select rid, round(count(*) over (partition by c_lang) / (count(*) over ())::double, 6) as c_lang from v_docs")
+over("categorical_outliers_const", "v_texts", lambda df: encode.categorical_outliers(df.select("rid", "c_lang"), min_size=0.13, fill_mode="others"), "select rid, case when count(*) over (partition by c_lang) <= 0.13 * count(*) over () then 'others' else c_lang end as c_lang from v_texts")
+over("categorical_outliers_mode", "v_texts", lambda df: encode.categorical_outliers(df.select("rid", "c_lang"), min_size=0.13), "select rid, case when count(*) over (partition by c_lang) <= 0.13 * count(*) over () then (select c_lang from v_texts group by 1 order by count(*) desc, 1 limit 1) else c_lang end as c_lang from v_texts")
+over("count_of_samples", "v_texts", lambda df: encode.cats_to_count_of_samples(df.select("rid", "c_lang", "c_source")), "select rid, count(*) over (partition by c_lang) as c_lang, count(*) over (partition by c_source) as c_source from v_texts")
+over("ratio_of_samples", "v_texts", lambda df: rounded(encode.cats_to_ratio_of_samples(df.select("rid", "c_lang")), "c_lang"), "select rid, round(count(*) over (partition by c_lang) / (count(*) over ())::double, 6) as c_lang from v_texts")
 over("count_binary_target", "v_docs", lambda df: encode.cats_to_count_of_binary_target(df.select("rid", "c_lang", "b_quality"), "b_quality"), "select rid, b_quality, (sum((b_quality = 1)::int) over (partition by c_lang))::bigint as c_lang from v_docs")
 over("ratio_binary_target", "v_docs", lambda df: rounded(encode.cats_to_ratio_of_binary_target(df.select("rid", "c_lang", "b_quality"), "b_quality"), "c_lang"), "select rid, b_quality, round(avg((b_quality = 1)::int) over (partition by c_lang), 6) as c_lang from v_docs")
 _STATS = {"mean": "avg(n_total)", "median": "median(n_total)", "min": "min(n_total)", "max": "max(n_total)", "iqm": "(quantile_cont(n_total, 0.25) + quantile_cont(n_total, 0.75)) / 2"}
@@ -118,15 +131,18 @@ over(
 over("to_rank", "v_part", lambda df: encode.to_rank(df.select("rid", "n_size"), "n_size", "rank", False), "select rid, n_size, rank() over (order by n_size) + (count(*) over (partition by n_size) - 1) / 2.0 as rank from v_part")
 over("to_rank_normalised", "v_part", lambda df: rounded(encode.to_rank(df.select("rid", "n_size"), "n_size"), "rank"), "select rid, n_size, round((r - min(r) over ()) / (max(r) over () - min(r) over ()), 6) as rank from (select rid, n_size, rank() over (order by n_size) + (count(*) over (partition by n_size) - 1) / 2.0 as r from v_part) t")
 # rolling windows
-_ROLL = {"sum": "sum(n_value)", "mean": "avg(n_value)", "median": "median(n_value)", "min": "min(n_value)", "max": "max(n_value)", "std": "stddev_samp(n_value)", "var": "var_samp(n_value)"}
+_SEAMS = 1_500  # rows of a chunk, so that windows cross chunks at every scale
+_ROLL = {"sum": "sum(n_value)", "mean": "avg(n_value)", "median": "median(n_value)", "min": "min(n_value)", "max": "max(n_value)", "std": "stddev_samp(n_value)"}
 for _k, _e in _ROLL.items():
     over(
-        f"rolling_{_k}", "v_events", lambda df, k=_k: rounded(order.rolling(df.select("rid", "n_value"), [(k, "n_value", 5, "r")], "rid").select("rid", "r"), "r", digits=2 if k == "var" else 4),
-        f"select rid, round(case when count(n_value) over w = 5 then {_e} over w end, {2 if _k == 'var' else 4}) as r from v_events window w as (order by rid rows between 4 preceding and current row)",
+        f"rolling_{_k}", "v_events", lambda df, k=_k: rounded(order.rolling(df.select("rid", "n_value"), [(k, "n_value", 5, "r")], "rid", _SEAMS).select("rid", "r"), "r", digits=4),
+        f"select rid, round(case when count(n_value) over w = 5 then {_e} over w end, 4) as r from v_events window w as (order by rid rows between 4 preceding and current row)",
     )
-over("rolling_count", "v_events", lambda df: order.rolling(df.select("rid", "n_value"), [("count", "n_value", 5, "r")], "rid").select("rid", "r"), "select rid, count(n_value) over (order by rid rows between 4 preceding and current row) as r from v_events")
-over("rolling_skew", "v_events", lambda df: rounded(order.rolling(df.select("rid", "n_value"), [("skew", "n_value", 12, "r")], "rid").select("rid", "r"), "r", digits=4), "select rid, round(case when count(n_value) over w = 12 then skewness(n_value) over w end, 4) as r from v_events window w as (order by rid rows between 11 preceding and current row)")
-over("rolling_kurt", "v_events", lambda df: rounded(order.rolling(df.select("rid", "n_value"), [("kurt", "n_value", 12, "r")], "rid").select("rid", "r"), "r", digits=4), "select rid, round(case when count(n_value) over w = 12 then kurtosis(n_value) over w end, 4) as r from v_events window w as (order by rid rows between 11 preceding and current row)")
+# of five whole numbers, 20 times the variance is whole: no ties in rounding it
+over("rolling_var", "v_events", lambda df: rounded(order.rolling(df.select("rid", F.round(F.col("n_value") * 100).alias("n_cents")), [("var", "n_cents", 5, "r")], "rid", _SEAMS).select("rid", (F.col("r") * 20).alias("r")), "r", digits=0), "select rid, round(case when count(n_value) over w = 5 then var_samp(round(n_value * 100)) over w end * 20, 0) as r from v_events window w as (order by rid rows between 4 preceding and current row)")
+over("rolling_count", "v_events", lambda df: order.rolling(df.select("rid", "n_value"), [("count", "n_value", 5, "r")], "rid", _SEAMS).select("rid", "r"), "select rid, count(n_value) over (order by rid rows between 4 preceding and current row) as r from v_events")
+over("rolling_skew", "v_events", lambda df: rounded(order.rolling(df.select("rid", "n_value"), [("skew", "n_value", 12, "r")], "rid", _SEAMS).select("rid", "r"), "r", digits=4), "select rid, round(case when count(n_value) over w = 12 then skewness(n_value) over w end, 4) as r from v_events window w as (order by rid rows between 11 preceding and current row)")
+over("rolling_kurt", "v_events", lambda df: rounded(order.rolling(df.select("rid", "n_value"), [("kurt", "n_value", 12, "r")], "rid", _SEAMS).select("rid", "r"), "r", digits=4), "select rid, round(case when count(n_value) over w = 12 then kurtosis(n_value) over w end, 4) as r from v_events window w as (order by rid rows between 11 preceding and current row)")
 over("rolling_whole_frame", "v_events", lambda df: rounded(engineer(df.select("rid", "n_value", F.length("c_type").alias("n_len")), "rolling_sum(4)", order_by="rid").select("rid", F.col("`n_rolling_sum(n_value,4)`").alias("a"), F.col("`n_rolling_sum(n_len,4)`").alias("b")), "a", digits=4), "select rid, round(case when count(n_value) over w = 4 then sum(n_value) over w end, 4) as a, (case when count(n_value) over w = 4 then sum(length(c_type)) over w end)::bigint as b from v_events window w as (order by rid rows between 3 preceding and current row)")
 # expressions
 _ENG = {
@@ -180,7 +196,12 @@ for _k, _e in {"maximum": "greatest({})", "minimum": "least({})", "uniform": "({
         f"row_filter_{_k}", "v_part", lambda df, k=_k: rounded(rows.noise_filter(df.select("rid", "n_size", "n_retail", (F.col("n_size") * 30).alias("n_a")), k, 3), "n_size", "n_retail", "n_a", digits=4),
         "select rid, " + ", ".join(f"round(({_e.format(x if _k != 'uniform' else x.replace(',', ' +'))})::double, 4) as {c}" for x, c in zip(_p, ("n_size", "n_retail", "n_a"))) + " from (select rid, n_size::double as n_size, n_retail, n_size * 30.0::double as n_a from v_part) t",
     )
-over("row_filter_gaussian", "v_part", lambda df: rows.noise_filter(df.select("rid", "n_size", "n_retail"), "gaussian", 1.0))
+_GAUSS = [math.exp(-0.5 * k * k) for k in range(-4, 5)]
+_SEEN = [["n_size" if (i + k) % 4 in (0, 3) else "n_retail" for k in range(-4, 5)] for i in (0, 1)]  # mirrored at both edges: a a b b a a b b
+over(
+    "row_filter_gaussian", "v_part", lambda df: rounded(rows.noise_filter(df.select("rid", "n_size", "n_retail"), "gaussian", 1.0), "n_size", "n_retail", digits=4),
+    "select rid, " + ", ".join(f"round({' + '.join(f'{c} * {w / sum(_GAUSS)!r}::double' for c, w in zip(cells, _GAUSS))}, 4) as {name}" for name, cells in zip(("n_size", "n_retail"), _SEEN)) + " from v_part",
+)
 
 
 # sets
@@ -231,7 +252,10 @@ over("chi2_score", "v_docs", lambda df: rounded(evaluate.chi2(df, ["n_chars"], "
 over("covariance", "v_lineitem", lambda df: rounded(evaluate.covariance(df, "n_qty", "n_price"), "covariance", "pearson", digits=4), "select round(covar_samp(n_qty, n_price), 4) as covariance, round(corr(n_qty, n_price), 4) as pearson from v_lineitem")
 over("spearman", "v_part", lambda df: rounded(evaluate.spearman(df, "n_size", "n_retail"), "spearman"), "select round(corr(a, b), 6) as spearman from (select rank() over (order by n_size) + (count(*) over (partition by n_size) - 1) / 2.0 as a, rank() over (order by n_retail) + (count(*) over (partition by n_retail) - 1) / 2.0 as b from v_part) t")
 over("confusion", "v_preds", lambda df: evaluate.confusion(df.withColumn("p", (F.col("p1") > 0.5).cast("int")), "y", "p"), "select y, (p1 > 0.5)::int as p, count(*) as n from v_preds group by 1, 2")
-over("reliability", "v_preds", lambda df: rounded(evaluate.reliability_curve(df, "y", "p1"), "mean_score", "mean_truth"), "select ceil(p1 * 10)::int as bin, round(avg(p1), 6) as mean_score, round(avg(y), 6) as mean_truth, count(*) as n from v_preds where p1 > 0 group by 1")
+_BINS = "select b::int as bin, mean_score, mean_truth, coalesce(n, 0) as n from range(1, {k} + 1) r(b) left join (select ceil(p * {k}) as bin, round(avg(p), 6) as mean_score, round(avg(y), 6) as mean_truth, count(*) as n from ({p}) t where p > 0 group by 1) u on bin = b"
+over("reliability", "v_preds", lambda df: rounded(evaluate.reliability_curve(df, "y", "p1"), "mean_score", "mean_truth"), _BINS.format(k=10, p="select y, p1 as p from v_preds"))
+over("reliability_empty_bins", "v_preds", lambda df: rounded(evaluate.reliability_curve(df.where("p1 < 0.3 or p1 > 0.8"), "y", "p1", 20), "mean_score", "mean_truth"), _BINS.format(k=20, p="select y, p1 as p from v_preds where p1 < 0.3 or p1 > 0.8"))
+over("reliability_normalised", "v_preds", lambda df: rounded(evaluate.reliability_curve(df.where("p1 > 0.2"), "y", "p1", 7, True), "mean_score", "mean_truth"), _BINS.format(k=7, p="select y, (p1 - min(p1) over ()) / (max(p1) over () - min(p1) over ()) as p from v_preds where p1 > 0.2"))
 over("bland_altman", "v_preds", lambda df: rounded(evaluate.bland_altman(df, "p1", "p2"), "md", "sd", "lower", "upper"), "select round(md, 6) as md, round(sd, 6) as sd, round(md - 2 * sd, 6) as lower, round(md + 2 * sd, 6) as upper from (select avg(p1 - p2) md, stddev_pop(p1 - p2) sd from v_preds) t")
 over("logloss", "v_preds", lambda df: rounded(evaluate.mean_log_loss(df, "p1", "y"), "log_loss"), "select round(avg(-ln(case when y = 1 then p else 1 - p end)), 6) as log_loss from (select y, greatest(least(p1, 1 - 1e-14), 1e-14) as p from v_preds) t")
 over("cv_summary", "v_preds", lambda df: rounded(evaluate.mean_and_error(df, "p1"), "mean", "sem"), "select round(avg(p1), 6) as mean, round(stddev_samp(p1) / sqrt(count(p1)), 6) as sem from v_preds")
@@ -244,6 +268,30 @@ over("histogram", "v_part", lambda df: profile.histogram(df, "n_retail", 12), "s
 over("relation_box", "v_orders", lambda df: rounded(profile.relation(df, "n_total", "c_status"), "min", "q1", "median", "q3", "max", digits=4), "select c_status, round(min(n_total), 4) as min, round(quantile_cont(n_total, 0.25), 4) as q1, round(median(n_total), 4) as median, round(quantile_cont(n_total, 0.75), 4) as q3, round(max(n_total), 4) as max, count(n_total) as n from v_orders group by 1")
 
 
+over("relation_grid", "v_part", lambda df: profile.relation(df, "n_size", "n_retail", 8), """select least(floor((n_size - a) * 8 / (b - a)), 7)::int as n_size, least(floor((n_retail - c) * 8 / (d - c)), 7)::int as n_retail, count(*) as n
+    from v_part, (select min(n_size)::double a, max(n_size)::double b, min(n_retail)::double c, max(n_retail)::double d from v_part) s group by 1, 2""")
+over("relation_classes", "v_orders", lambda df: profile.relation(df, "c_status", "c_priority"), "select c_status, c_priority, count(*) as n from v_orders group by 1, 2")
+over("compare_predictions", "v_preds", lambda df: rounded(profile.compare_predictions(df, "p1", "p2"), "covariance", "pearson", "md", "sd", "lower", "upper"), "select round(covar_samp(p1, p2), 6) as covariance, round(corr(p1, p2), 6) as pearson, round(avg(p1 - p2), 6) as md, round(stddev_pop(p1 - p2), 6) as sd, round(avg(p1 - p2) - 2 * stddev_pop(p1 - p2), 6) as lower, round(avg(p1 - p2) + 2 * stddev_pop(p1 - p2), 6) as upper from v_preds")
+over("compare_predictions_classes", "v_preds", lambda df: profile.compare_predictions(df.withColumn("p", (F.col("p1") > 0.5).cast("int")), "y", "p"), "select y, (p1 > 0.5)::int as p, count(*) as n from v_preds group by 1, 2")
+over("feature_scores", "v_docs", lambda df: rounded(profile.feature_scores(df.withColumn("y", F.col("b_quality")), "y", ["n_chars"]).select("column", "f_regression", "f_classification", "chi2", "variance"), "f_regression", "f_classification", "chi2", "variance", digits=3), f"""select 'n_chars' as "column", (select round(r * r / (1 - r * r) * (n - 2), 3) from (select corr(n_chars, b_quality) r, count(*) n from v_docs) a) as f_regression,
+    (select round(((sum(s * s / n) - sum(s) * sum(s) / sum(n)) / (count(*) - 1)) / ((sum(q) - sum(s * s / n)) / (sum(n) - count(*))), 3) from {_SUMS}) as f_classification,
+    (select round(sum((s - e) * (s - e) / e), 3) from (select s, (sum(s) over ()) * n / (sum(n) over ()) as e from {_SUMS}) u) as chi2, (select round(var_samp(n_chars), 3) from v_docs) as variance""")
+
+
+@query("infer_roles", """select * from (values ('o_orderkey', 'index'), ('o_custkey', 'index'), ('o_orderstatus', 'categorical'), ('o_totalprice', 'numerical'), ('o_orderdate', 'date'), ('o_orderpriority', 'categorical'), ('two', 'binary'), ('c_own', 'categorical')) t("column", role)""")
+def _infer(spark, sf):
+    df = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority", (F.col("o_orderkey") % 2).alias("two"), F.lit(1).alias("c_own"))
+    return spark.createDataFrame(list(roles.infer_roles(df).items()), "column string, role string")
+
+
+@query("annotated_roles", "select o_orderkey, avg((o_totalprice - m) / s) as n from orders, (select avg(o_totalprice) m, stddev_samp(o_totalprice) s from orders) t group by 1 having false")
+def _annotated(spark, sf):
+    """Roles that the data give are chosen by operators too: every categorical is imputed, so no row is left over."""
+    df = roles.annotate(table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderstatus")).alias("o_orderstatus"), "o_totalprice"))
+    filled = clean.missing(df, "mode", "mean")
+    return filled.where("o_orderstatus is null").select("o_orderkey", F.col("o_totalprice").alias("n"))
+
+
 # folds and order
 @query("label_folds", "select rid, i_nation, fold from (select rid, i_nation from v_orders_seg) o join (select i_nation, (case when r < m * (s + 1) then r // (s + 1) else m + (r - m * (s + 1)) // greatest(s, 1) end)::int as fold from (select i_nation, row_number() over (order by f) - 1 as r, count(*) over () // 4 as s, count(*) over () % 4 as m from (select i_nation, min(rid) as f from v_orders_seg group by 1) a) b) c using (i_nation)", "v_orders_seg")
 def _label_folds(spark, sf):
@@ -268,12 +316,32 @@ query("to_libfm", _P_CELLS + """select rid, (case when y = 0 then '0.0' else '1.
 query("to_libffm", _P + """t as (select rid, y, n_size::bigint as a, case when n_retail = floor(n_retail) then cast(cast(n_retail as bigint) as varchar) else rtrim(printf('%.10f', n_retail), '0') end as b from p) select rid, y || ' 0:0:' || a || ' 1:0:' || b as line from t""")(lambda spark, sf: serialize.to_libffm(_part(spark, sf).drop("c_type"), "rid", "y"))
 
 
-# samples, models: checked by properties in the tests
+query("to_vw_weighted", _P + """cells as (select rid, 1 as pos, 'n' as kind, 'n_retail' as feature, n_retail as v from p where n_retail <> 0 union all select rid, 2, 'c', 'c_type_' || c_type, 1.0 from p),
+  ids as (select feature, row_number() over (order by f, fp) - 1 as id from (select feature, min(rid) as f, arg_min(pos, rid) as fp from cells group by 1) t),
+  tok as (select rid, kind, id, case when v = floor(v) then cast(cast(v as bigint) as varchar) else rtrim(printf('%.10f', v), '0') end as value from cells join ids using (feature)),
+  own as (select rid, y, n_size::bigint as w, row_number() over (order by rid) - 1 as tag from p)
+  select rid, (case when y = 0 then '-1.0' else '1.0' end) || (case when w <> 1 then ' ' || w else '' end) || chr(32) || chr(39) || tag || ' |n ' || string_agg(case when kind = 'n' then id || ':' || value end, ' ') || ' |c ' || string_agg(case when kind = 'c' then id::varchar end, ' ') as line from tok join own using (rid) group by rid, y, w, tag""")(
+    lambda spark, sf: serialize.to_vw(_part(spark, sf), "rid", "y", "n_size")
+)
+
+
+# samples, models: checked by properties in the tests, and by what SQL can say of them
+over("subsample_size", "v_orders", lambda df: sample.subsample(df.select("rid", "n_total"), 0.1, "rid", 3).agg(F.count("*").alias("n"), F.count_distinct("rid").alias("n_distinct")), "select floor(count(*) * 0.1::double)::bigint as n, floor(count(*) * 0.1::double)::bigint as n_distinct from v_orders")
+over("shuffle_rows", "v_orders", lambda df: sample.shuffle(df.select("rid", "n_total"), "rid", 3).select("rid", F.round("n_total", 2).alias("n_total")), "select rid, round(n_total, 2) as n_total from v_orders")
+over(
+    "split_sizes", "v_docs", lambda df: (lambda p: p[0].groupBy("b_quality").agg(F.count("*").alias("train")).join(p[1].groupBy("b_quality").agg(F.count("*").alias("test")), "b_quality"))(sample.split(df, "rid", 0.7, 1, "b_quality")),
+    "select b_quality, floor(count(*) * 0.7::double)::bigint as train, floor(count(*) * (1 - 0.7::double))::bigint as test from v_docs group by 1",
+)
+over(
+    "stratified_folds", "v_docs", lambda df: sample.with_folds(df, 4, "rid", 2, stratify="b_quality").groupBy("b_quality", "fold").agg(F.count("*").alias("n")),
+    "select b_quality, f::int as fold, (n // 4 + (f < n % 4)::int)::bigint as n from (select b_quality, count(*) as n from v_docs group by 1) t, range(4) r(f)",
+)
 over("shuffle", "v_orders", lambda df: sample.shuffle(df.select("rid", "n_total"), "rid", 3))
 over("subsample", "v_orders", lambda df: sample.subsample(df.select("rid", "n_total"), 0.1, "rid", 3))
 over("split_stratified", "v_docs", lambda df: sample.split(df, "rid", 0.7, 1, "b_quality")[0])
 over("add_noise", "v_part", lambda df: clean.add_noise(df.select("rid", "n_retail"), level=0.2, seed=1))
 over("boxcox", "v_part", lambda df: scalar.boxcox_columns(df.select("rid", "n_retail"), ["n_retail"]))
+over("boxcox_given", "v_part", lambda df: rounded(df.select("rid", scalar.box_cox(F.col("n_retail"), 0.5).alias("a"), scalar.box_cox(F.col("n_retail"), 0.0).alias("b")), "a", "b"), "select rid, round((sqrt(n_retail) - 1) / 0.5, 6) as a, round(ln(n_retail), 6) as b from v_part")
 
 
 def _docs(spark, sf):
@@ -303,12 +371,26 @@ def _calibrate(spark, sf):
     return ensemble.calibrate(view(spark, sf, "v_preds"), "y", "p1").select("rid", "p1", "calibrated")
 
 
+@query("greedy_two", """, l as (select rid, y, m, p from v_preds unpivot (p for m in (p1, p2, p3))), a as (select m, -avg((y - p) * (y - p)) as s from l group by 1), f as (select m, s from a order by s desc, m desc limit 1),
+    b as (select l.m, -avg((l.y - (l.p + k.p) / 2) * (l.y - (l.p + k.p) / 2)) as s from l join l k on l.rid = k.rid and k.m = (select m from f) where l.m <> (select m from f) group by 1)
+    select 0 as step, m as model, round(s, 6) as score from f union all (select 1, m, round(s, 6) from b order by s desc, m desc limit 1)""", "v_preds")
+def _greedy_two(spark, sf):
+    picks = ensemble.greedy_ensemble(view(spark, sf, "v_preds"), "y", ["p1", "p2", "p3"], epochs=2)
+    return rounded(spark.createDataFrame([(i, c, float(s)) for i, (c, s) in enumerate(picks)], "step int, model string, score double"), "score")
+
+
 @query("greedy_ensemble")
 def _greedy(spark, sf):
     picks = ensemble.greedy_ensemble(view(spark, sf, "v_preds"), "y", ["p1", "p2", "p3"], epochs=5, max_replacements=1)
     return spark.createDataFrame([(i, c, float(s)) for i, (c, s) in enumerate(picks)], "step int, model string, score double")
 
 
+@query("optimise_two", "select round(w, 3) as p1, round(1 - w, 3) as p2 from (select greatest(least(sum((p1 - p2) * (y - p2)) / sum((p1 - p2) * (p1 - p2)), 1.0), 0.0) as w from v_preds) t", "v_preds")
+def _optimise_two(spark, sf):
+    found = ensemble.optimise_weights(view(spark, sf, "v_preds"), "y", ["p1", "p2"], rounds=5_000)
+    return rounded(spark.createDataFrame([(found["p1"], found["p2"])], "p1 double, p2 double"), "p1", "p2", digits=3)
+
+
 @query("optimise_weights")
 def _optimise(spark, sf):
     found = ensemble.optimise_weights(view(spark, sf, "v_preds"), "y", ["p1", "p2", "p3"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import math
 from collections.abc import Callable
 
@@ -12,7 +13,8 @@ from pyspark.sql import functions as F
 from tessera.functions.scalar import YTransform, sigmoid
 from tessera.operators.clean import floor_at, trim_on_y
 
-Score = Callable[[Column, Column], Column]
+#: Of target and prediction, and of the names picked so far where a scorer takes three.
+Score = Callable[..., Column]
 
 
 def neg_mse(y: Column, p: Column) -> Column:
@@ -26,16 +28,22 @@ def accuracy(y: Column, p: Column) -> Column:
 def greedy_ensemble(df: DataFrame, y: str, columns: list[str], score: Score = neg_mse, epochs: int = 10, max_replacements: int = 0, start: list[str] = (), early_exit: bool = False, chooser: Callable[[list[tuple[float, str]]], tuple[float, str]] = max) -> list[tuple[str, float]]:
     """(column, score of the mean so far) picked one after another, each at most max_replacements + 1 times.
 
-    Every epoch scores all candidates in one aggregation.
+    Every epoch scores all candidates in one aggregation. A score that takes three arguments is given the picks that
+    it scores. `start` are picks of before, their scores worked out again, all in one aggregation.
     """
-    picks: list[tuple[str, float]] = [(c, math.nan) for c in start]
+    def scored(names: list[str]) -> Column:
+        more = (names,) if len(inspect.signature(score).parameters) > 2 else ()
+        return score(F.col(y), ensemble_column(names), *more)
+
+    picks: list[tuple[str, float]] = []
+    if start:
+        picks = list(zip(start, df.agg(*[scored(list(start[: i + 1])).alias(f"s{i}") for i in range(len(start))]).first()))
     for _ in range(epochs):
         used = [c for c, _ in picks]
         left = [c for c in columns if used.count(c) <= max_replacements]
         if not left:
             break
-        so_far = sum((F.col(c) for c in used[1:]), F.col(used[0])) if used else F.lit(0.0)
-        row = df.agg(*[score(F.col(y), (so_far + F.col(c)) / (len(used) + 1)).alias(f"s{i}") for i, c in enumerate(left)]).first()
+        row = df.agg(*[scored([*used, c]).alias(f"s{i}") for i, c in enumerate(left)]).first()
         value, best = chooser(list(zip(row, left)))
         if early_exit and picks and value <= picks[-1][1]:
             break
@@ -94,8 +102,33 @@ def optimise_any(df: DataFrame, y: str, columns: list[str], score: Score, rounds
     return {c: v / total for c, v in w.items()}
 
 
+def calibrate_out_of_fold(df: DataFrame, y: str, columns: list[str] | str, key: str, method: str = "sigmoid", k: int = 5, seed: int = 0, suffix: str = "_calibrated") -> DataFrame:
+    """Each score column calibrated as <c><suffix>: labelled rows by a fit on the other folds (stratified), others by a fit on all.
+
+    A row's own label has no part in its calibrated score.
+    """
+    from tessera.ml.folds import self_chunked_op
+
+    names = [columns] if isinstance(columns, str) else list(columns)
+    known, rest = df.where(F.col(y).isNotNull()), df.where(F.col(y).isNull())
+
+    def apply(train: DataFrame, test: DataFrame) -> DataFrame:
+        for c in names:
+            test = _calibrator(train, y, c, method)(test, c + suffix)
+        return test
+
+    return self_chunked_op(known, apply, key, k, seed, y).unionByName(apply(known, rest))
+
+
 def calibrate(df: DataFrame, y: str, p: str, method: str = "sigmoid", output: str = "calibrated") -> DataFrame:
-    """Platt scaling ('sigmoid') or isotonic regression of a score, fitted on the labelled rows, applied to all."""
+    """Platt scaling ('sigmoid') or isotonic regression of a score, fitted on the labelled rows, applied to all.
+
+    Labelled rows so take part in their own score; `calibrate_out_of_fold` keeps them out.
+    """
+    return _calibrator(df, y, p, method)(df, output)
+
+
+def _calibrator(df: DataFrame, y: str, p: str, method: str) -> Callable[[DataFrame, str], DataFrame]:
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
@@ -103,11 +136,11 @@ def calibrate(df: DataFrame, y: str, p: str, method: str = "sigmoid", output: st
 
     train = df.where(F.col(y).isNotNull()).withColumn("_y", F.col(y).cast("double"))
     if method == "isotonic":
-        model = IsotonicRegression(featuresCol=p, labelCol="_y", predictionCol=output).fit(train)
-        return model.transform(df)
+        steps = IsotonicRegression(featuresCol=p, labelCol="_y", predictionCol="_c").fit(train)
+        return lambda rows, output: steps.transform(rows).withColumnRenamed("_c", output)
     ready = VectorAssembler(inputCols=[p], outputCol="_x")
     model = LogisticRegression(featuresCol="_x", labelCol="_y", probabilityCol="_p", predictionCol="_c", rawPredictionCol="_r").fit(ready.transform(train))
-    return model.transform(ready.transform(df)).withColumn(output, vector_to_array("_p")[1]).drop("_x", "_p", "_c", "_r")
+    return lambda rows, output: model.transform(ready.transform(rows)).withColumn(output, vector_to_array("_p")[1]).drop("_x", "_p", "_c", "_r")
 
 
 def probability_of(df: DataFrame, mode: str = "sigmoid", raw: str = "rawPrediction", output: str = "proba") -> DataFrame:
@@ -156,7 +189,10 @@ def min_y_value(estimator, y, least):
 
 
 class SplitModels:
-    """A model per value of a split column; -1 is for a fallback that was fitted before."""
+    """A model per value of a split column; -1 is for a fallback that was fitted before.
+
+    Rows whose value is null or has no model get the fallback's predictions, without one nulls; no row is left out.
+    """
 
     def __init__(self, estimators: list[Estimator], index: Column, fallback=None):
         self.estimators, self.index, self.fallback = estimators, index, fallback
@@ -171,8 +207,8 @@ class SplitModels:
 
     def transform(self, df: DataFrame) -> DataFrame:
         rows, out = df.withColumn("_i", self.index), None
-        models = self.models | ({-1: self.fallback} if self.fallback is not None else {})
-        for i, model in models.items():
+        for i, model in self.models.items():
             part = model.transform(rows.where(F.col("_i") == i).drop("_i"))
             out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-        return out
+        other = rows.where(F.col("_i").isNull() | ~F.col("_i").isin(*self.models)).drop("_i")
+        return out.unionByName(other if self.fallback is None else self.fallback.transform(other), allowMissingColumns=True)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera import roles
-from tessera.functions.scalar import ACTIVATIONS
+from tessera.functions.scalar import ACTIVATIONS, grbf
 from tessera.ml.nearest import nearest
 
 
@@ -69,11 +69,14 @@ def neighbours(left: DataFrame, right: DataFrame, key: str, vector: str, k: int)
 
 
 def smote(df: DataFrame, y: str, minority, key: str, columns=None, percent: int = 100, k: int = 5, h: float = 1.0, seed: int = 0) -> DataFrame:
-    """percent / 100 synthetic rows per minority row: x + U(0, h) (neighbour - x)."""
+    """percent / 100 synthetic rows per minority row: x + U(0, h) (neighbour - x); below 100, one for that share of them."""
+    from tessera.operators.sample import subsample
+
     names = columns or [c for c in roles.numericals(df) if c != y]
     rows = VectorAssembler(inputCols=names, outputCol="_v").transform(df.where(F.col(y) == minority)).select(key, "_v")
-    near = neighbours(rows, rows, key, "_v", k).groupBy(key).agg(F.array_sort(F.collect_list("neighbour")).alias("_near"))
-    drawn = near.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(max(1, percent // 100)))))
+    drawn = rows if percent >= 100 else subsample(rows, percent / 100, key, seed)
+    near = neighbours(drawn, rows, key, "_v", k).groupBy(key).agg(F.array_sort(F.collect_list("neighbour")).alias("_near"))
+    drawn = near.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(max(1, int(percent // 100))))))
     drawn = drawn.withColumn("neighbour", F.element_at("_near", (F.pmod(F.xxhash64(F.lit(seed), key, "_copy"), F.size("_near")) + 1).cast("int")))
     values = rows.select(key, vector_to_array("_v").alias("_a"))
     both = drawn.join(values, key).join(values.select(F.col(key).alias("neighbour"), F.col("_a").alias("_b")), "neighbour")
@@ -112,7 +115,8 @@ class RandomLayer:
         gaps = np.linalg.norm(self.centres[:, None] - self.centres[None], axis=2)
         self.radius = np.full(self.units, gaps.max() / np.sqrt(2 * self.units) or 1.0)
         if self.tau is not None:
-            self.radius = np.sort(gaps + np.where(np.eye(self.units, dtype=bool), np.inf, 0), axis=1)[:, 0] or self.radius
+            near = np.sort(gaps + np.where(np.eye(self.units, dtype=bool), np.inf, 0), axis=1)[:, 0]
+            self.radius = np.where((near > 0) & (near < np.inf), near, self.radius)
         return self
 
     def transform(self, df: DataFrame, output: str = "hidden") -> DataFrame:
@@ -125,7 +129,7 @@ class RandomLayer:
             if self.alpha != 1:
                 d2 = sum(((F.col(c) - float(m)) * (F.col(c) - float(m)) for c, m in zip(self.columns, self.centres[u])), F.lit(0.0))
                 a = a + (1 - self.alpha) * self.width * F.sqrt(d2) / float(self.radius[u])
-            units.append(self.activation(a) if callable(self.activation) else ACTIVATIONS[self.activation](a))
+            units.append(self.activation(a) if callable(self.activation) else grbf(a, self.tau or 1.0) if self.activation == "grbf" else ACTIVATIONS[self.activation](a))
         return df.withColumn(output, F.array(*units))
 
 
@@ -137,6 +141,11 @@ def rbf_layer(**options) -> RandomLayer:
     return RandomLayer(alpha=0.0, **({"activation": "gaussian"} | options))
 
 
+def grbf_layer(tau: float = 2.0, **options) -> RandomLayer:
+    """Generalised radial units: each centre's radius is the distance to the nearest other centre, tau shapes the fall."""
+    return RandomLayer(alpha=0.0, tau=tau, **({"activation": "grbf"} | options))
+
+
 class ELM:
     """A random layer and least squares on it: a regression, or one of +-1 targets per class."""
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tessera import roles
 from tessera.operators.sample import split, with_folds
+from tessera.runtime import config
 
 Scorer = Callable[[DataFrame, str, str], float]
 
@@ -34,15 +35,19 @@ def default_scorer(df: DataFrame, y: str) -> Scorer:
     return lambda d, label, p: RegressionEvaluator(labelCol=label, predictionCol=p, metricName="r2").evaluate(d)
 
 
-def do_cv(estimator: Estimator, df: DataFrame, y: str, key: str, n_iter: int = 3, scorer: Scorer | None = None, stratify: bool = False, seed: int = 0, parallel: int = 4) -> tuple[float, float]:
-    """(mean, standard error) over n_iter shuffle splits that test a share of 1 / n_iter; fits run side by side."""
+def do_cv(estimator: Estimator, df: DataFrame, y: str, key: str, n_iter: int = 3, scorer: Scorer | None = None, stratify: bool = False, seed: int = 0, parallel: int | None = None, custom: list[tuple[DataFrame, DataFrame]] | None = None) -> tuple[float, float]:
+    """(mean, standard error) over n_iter shuffle splits that test a share of 1 / n_iter; fits run side by side.
+
+    `custom` gives (train, test) pairs in place of the splits.
+    """
     scorer = scorer or default_scorer(df, y)
+    n_iter = len(custom) if custom else n_iter
 
     def one(i: int) -> float:
-        train, test = split(df, key, 1 - 1 / n_iter, seed + i, y if stratify else None)
+        train, test = custom[i] if custom else split(df, key, 1 - 1 / n_iter, seed + i, y if stratify else None)
         return scorer(estimator.fit(train).transform(test), y, "prediction")
 
-    with ThreadPoolExecutor(parallel) as pool:
+    with ThreadPoolExecutor(parallel or config().parallel) as pool:
         scores = list(pool.map(one, range(n_iter)))
     return statistics.fmean(scores), statistics.stdev(scores) / len(scores) ** 0.5 if len(scores) > 1 else 0.0
 
@@ -66,7 +71,7 @@ def do_gs(df: DataFrame, estimator: Estimator, y: str, key: str, grid: dict[str,
     if random_iterations is not None:
         points = random.Random(seed).sample(points, min(random_iterations, len(points)))
     found = [(*do_cv(estimator.copy({estimator.getParam(k): v for k, v in p.items()}), df, y, key, seed=seed, **options), p) for p in points]
-    return sorted(found, key=lambda x: -x[0])
+    return sorted(found, key=lambda x: -x[0] if config().higher_is_better else x[0])
 
 
 def score_values(df: DataFrame, estimator: Estimator, y: str, key: str, param: str, values: list, **options):
@@ -93,22 +98,36 @@ def score_operations(df: DataFrame, estimator: Estimator, y: str, key: str, colu
     return out
 
 
-def fit_predict(df: DataFrame, estimator: Estimator, y: str) -> DataFrame:
-    """Fit on the rows with a label, predict those without."""
-    train, test = df.where(F.col(y).isNotNull()), df.where(F.col(y).isNull())
-    return estimator.fit(train).transform(test)
+def fit_predict(df: DataFrame, estimator: Estimator, y: str, test: DataFrame | None = None) -> DataFrame:
+    """Fit on the rows with a label; predict those of `test`, or without one the rows of df that have no label."""
+    train = df.where(F.col(y).isNotNull())
+    return estimator.fit(train).transform(df.where(F.col(y).isNull()) if test is None else test)
+
+
+predict = fit_predict
+
+
+def predict_proba(df: DataFrame, estimator: Estimator, y: str, test: DataFrame | None = None) -> DataFrame:
+    """fit_predict with `proba`, an array of the classes' probabilities."""
+    return fit_predict(df, estimator, y, test).withColumn("proba", vector_to_array("probability"))
 
 
-predict = transform = decision_function = fit_predict
+def decision_function(df: DataFrame, estimator: Estimator, y: str, test: DataFrame | None = None) -> DataFrame:
+    """fit_predict with `decision`, the raw score of the larger of two classes, an array of scores if there are more."""
+    out = fit_predict(df, estimator, y, test).withColumn("decision", vector_to_array("rawPrediction"))
+    n = df.where(F.col(y).isNotNull()).agg(F.count_distinct(y)).first()[0]
+    return out.withColumn("decision", F.col("decision")[1]) if n == 2 else out
 
 
-def predict_proba(df: DataFrame, estimator: Estimator, y: str) -> DataFrame:
-    return fit_predict(df, estimator, y).withColumn("proba", vector_to_array("probability"))
+def transform(df: DataFrame, estimator: Estimator, y: str | None = None, test: DataFrame | None = None) -> DataFrame:
+    """Fit on df, its labelled rows where there is a target, and transform `test`, or without one all of df."""
+    train = df if y is None else df.where(F.col(y).isNotNull())
+    return estimator.fit(train).transform(df if test is None else test)
 
 
-def self_chunked_op(df: DataFrame, op: Callable[[DataFrame, DataFrame], DataFrame], key: str, k: int = 5, seed: int = 0) -> DataFrame:
-    """op(train, test) for each fold against the others; every row comes out once."""
-    rows = with_folds(df, k, key, seed, "_fold")
+def self_chunked_op(df: DataFrame, op: Callable[[DataFrame, DataFrame], DataFrame], key: str, k: int = 5, seed: int = 0, stratify: str | None = None) -> DataFrame:
+    """op(train, test) for each fold against the others; every row comes out once. Folds hold classes alike if stratified."""
+    rows = with_folds(df, k, key, seed, "_fold", stratify)
     out = None
     for i in range(k):
         part = op(rows.where(F.col("_fold") != i).drop("_fold"), rows.where(F.col("_fold") == i).drop("_fold"))
@@ -116,13 +135,13 @@ def self_chunked_op(df: DataFrame, op: Callable[[DataFrame, DataFrame], DataFram
     return out
 
 
-def self_predict(df: DataFrame, estimator: Estimator, key: str, k: int = 5, seed: int = 0) -> DataFrame:
+def self_predict(df: DataFrame, estimator: Estimator, key: str, k: int = 5, seed: int = 0, stratify: str | None = None) -> DataFrame:
     """Out-of-fold predictions."""
-    return self_chunked_op(df, lambda train, test: estimator.fit(train).transform(test), key, k, seed)
+    return self_chunked_op(df, lambda train, test: estimator.fit(train).transform(test), key, k, seed, stratify)
 
 
-def self_predict_proba(df: DataFrame, estimator: Estimator, key: str, k: int = 5, seed: int = 0) -> DataFrame:
-    return self_predict(df, estimator, key, k, seed).withColumn("proba", vector_to_array("probability"))
+def self_predict_proba(df: DataFrame, estimator: Estimator, key: str, k: int = 5, seed: int = 0, stratify: str | None = None) -> DataFrame:
+    return self_predict(df, estimator, key, k, seed, stratify).withColumn("proba", vector_to_array("probability"))
 
 
 self_transform = self_predict
@@ -139,16 +158,29 @@ def feature_importances(df: DataFrame, estimator: Estimator, columns: list[str])
     return sorted(zip(columns, map(abs, values.toArray().tolist())), key=lambda x: -x[1])
 
 
-def feature_selection(df: DataFrame, estimator: Estimator, y: str, key: str, columns: list[str], mandatory=(), tolerance: float = 0.0, epochs: int | None = None, parallel: int = 4, **options) -> list[str]:
-    """Greedy forward selection by cross-validation; equal scores go to the smaller error."""
+def feature_selection(df: DataFrame, estimator: Estimator, y: str, key: str, columns: list[str], mandatory=(), tolerance: float = 0.0, epochs: int | None = None, parallel: int = 4, validation: DataFrame | None = None, n_samples: int | None = None, top: int = 1, **options) -> list[str]:
+    """Greedy forward selection by cross-validation, or by the score on a validation set.
+
+    Of the `top` best columns of an epoch, that with the smallest error is taken; `n_samples` rows are drawn first.
+    """
+    from tessera.operators.sample import subsample
+
     chosen, best = list(mandatory), float("-inf")
+    df = df if n_samples is None else subsample(df, n_samples, key, options.get("seed", 0))
+
+    def score_of(c: str) -> tuple[float, float]:
+        names = chosen + [c]
+        own = options if validation is None else options | {"custom": [(assemble(df, names), assemble(validation, names))]}
+        return do_cv(estimator, assemble(df, names), y, key, parallel=1, **own)
+
     for _ in range(epochs or len(columns)):
         left = [c for c in columns if c not in chosen]
         if not left:
             break
         with ThreadPoolExecutor(parallel) as pool:
-            scores = list(pool.map(lambda c: do_cv(estimator, assemble(df, chosen + [c]), y, key, parallel=1, **options), left))
-        (score, _), c = max(zip(scores, left), key=lambda x: (x[0][0], -x[0][1]))
+            scores = list(pool.map(score_of, left))
+        ranked = sorted(zip(scores, left), key=lambda x: (-x[0][0], x[0][1]))
+        (score, _), c = min(ranked[:top], key=lambda x: (x[0][1], -x[0][0]))
         if score <= best + tolerance:
             break
         best, chosen = score, chosen + [c]
@@ -164,15 +196,15 @@ def default_estimators(label: str = "y", classify: bool = True) -> dict[str, Est
     return {"linear": R.LinearRegression(labelCol=label), "tree": R.DecisionTreeRegressor(labelCol=label), "forest": R.RandomForestRegressor(labelCol=label, seed=0), "gbt": R.GBTRegressor(labelCol=label, seed=0)}
 
 
-def try_all(df: DataFrame, y: str, key: str, classify: bool = True, **options) -> list[tuple[str, float, float]]:
-    """Cross-validate every estimator of the list; best first, failures left out."""
-    found = []
+def try_all(df: DataFrame, y: str, key: str, classify: bool = True, **options) -> list[tuple[str, float, float, str | None]]:
+    """(name, score, error, None) of every estimator of the list, best first; those that fail last, with NaN and the message."""
+    found, failed = [], []
     for name, e in default_estimators(y, classify).items():
         try:
-            found.append((name, *do_cv(e, df, y, key, **options)))
-        except Exception as e:  # noqa: BLE001  an estimator that these data do not suit
-            del e
-    return sorted(found, key=lambda x: -x[1])
+            found.append((name, *do_cv(e, df, y, key, **options), None))
+        except Exception as why:  # noqa: BLE001  an estimator that these data do not suit
+            failed.append((name, float("nan"), float("nan"), str(why).splitlines()[0]))
+    return sorted(found, key=lambda x: -x[1]) + failed
 
 
 def explain_params(estimator: Estimator) -> dict[str, str]:

@@ -29,9 +29,28 @@ def linear_svm(columns: list[str], y: str, bits: int = 18, l2: float = 0.01) ->
     return Pipeline(stages=[hashed(columns, bits), LinearSVC(labelCol=y, regParam=l2)])
 
 
-def pipe_lines(lines, command: str):
-    """The `line` column piped through an external program on the executors; the float before '#' of what it prints."""
-    from pyspark.sql import functions as F
-
-    out = lines.select("line").rdd.map(lambda r: r[0]).pipe(command).map(lambda x: (x,)).toDF(["text"])
-    return out.select(F.trim(F.split("text", "#")[0]).cast("double").alias("prediction"))
+def pipe_lines(lines, command: str, key: str | None = None):
+    """The `line` column piped through an external program on the executors; the float before '#' of what it prints.
+
+    The program prints a line for each that it reads, in their order, which is how predictions get back to `key`. It is
+    run once for each batch of an executor's rows; a failure, or another number of lines, fails the task.
+    """
+    import subprocess
+
+    import pandas as pd
+
+    names = ["line"] if key is None else [key, "line"]
+    rows = lines.select(*names)
+
+    def run(batches):
+        for batch in batches:
+            if not len(batch):
+                continue
+            said = subprocess.run(command, shell=True, input="\n".join(batch["line"]) + "\n", capture_output=True, text=True, check=True).stdout.splitlines()
+            if len(said) != len(batch):
+                raise ValueError(f"{len(batch)} lines went in, {len(said)} came out")
+            found = pd.Series([float(x.split("#")[0].strip()) for x in said], index=batch.index)
+            yield batch.drop(columns="line").assign(prediction=found)
+
+    schema = rows.drop("line").schema.add("prediction", "double")
+    return rows.mapInPandas(run, schema)

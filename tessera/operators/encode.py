@@ -6,10 +6,11 @@ allows and shuffles it otherwise. Rows are never sorted or windowed by a categor
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera import roles, stats
+from tessera.operators.order import running_sum, with_position
 
 
 def _lookup(df: DataFrame, column: str, table: DataFrame, key: str = "_k") -> DataFrame:
@@ -26,15 +27,27 @@ def to_indexes(df: DataFrame, columns=None, drop: bool = True) -> DataFrame:
     names = columns or roles.categoricals(df) + roles.binaries(df)
     for c in names:
         values = df.select(F.col(c).alias("_k")).where("_k is not null").distinct()
-        codes = values.select("_k", (F.row_number().over(Window.orderBy("_k")) - 1).alias("_code"))
+        codes = with_position(values, "_k", "_code").withColumn("_code", F.col("_code").cast("int"))
         name = "i_" + (c[2:] if roles.is_valid_name(c) else c) if drop else "i_" + c
         df = _lookup(df, c, codes).withColumn(name, F.coalesce("_code", F.lit(-1))).drop("_code")
     return df.drop(*names) if drop else df
 
 
+#: Values of a column that one_hot_encode makes columns of.
+MAX_HOT = 2_000
+
+
 def one_hot_encode(df: DataFrame, columns=None, prefix: str = "oh") -> DataFrame:
-    """A 0/1 column per value (ascending) of each encoded column, named <prefix>_<c>_<k>, then the others."""
+    """A 0/1 column per value (ascending) of each encoded column, named <prefix>_<c>_<k>, then the others.
+
+    Columns of more than MAX_HOT values are refused; `one_hot_vector` takes any number.
+    """
     names = columns or roles.categorical_like(df)
+    if not names:
+        return df
+    sizes = df.agg(*[F.approx_count_distinct(c, 0.02) for c in names]).first()
+    if over := [c for c, n in zip(names, sizes) if n > MAX_HOT]:
+        raise ValueError(f"more than {MAX_HOT} values in {', '.join(over)}: use one_hot_vector")
     row = df.agg(*[F.array_sort(F.collect_set(c)) for c in names]).first()
     hot = [F.coalesce((F.col(c) == F.lit(v)), F.lit(False)).cast("double").alias(f"{prefix}_{c}_{k}") for c, values in zip(names, row) for k, v in enumerate(values)]
     return df.select(*hot, *[c for c in df.columns if c not in names])
@@ -108,11 +121,10 @@ def cats_to_stat(df: DataFrame, y: str, stat="mean", remove_originals: bool = Tr
     per = {c: list(ALL_STATS) if s == "all" else [s] if isinstance(s, str) else list(s) for c, s in per.items()}
     used = list(dict.fromkeys(s for v in per.values() for s in v))
     train = df.where(F.col(y).isNotNull())
-    row = train.agg(*[stats.statistic(F.col(y), s) for s in used]).first() if used else ()
-    overall = dict(zip(used, row))
+    overall = stats.overall(train, F.col(y), used)
     for n, c in enumerate(names):
         key = F.coalesce(F.col(c).cast("string"), F.lit(missing_value))
-        table = train.groupBy(key.alias("_k")).agg(*[stats.statistic(F.col(y), s).alias(f"_s{i}") for i, s in enumerate(per[c])])
+        table = stats.grouped(train, key, F.col(y), per[c])
         default = dict(overall)
         if missing_treatment == "missing-category" and (own := table.where(F.col("_k") == missing_value).first()):
             default |= {s: own[f"_s{i}"] for i, s in enumerate(per[c])}
@@ -143,7 +155,8 @@ def group_rare(df: DataFrame, columns=None, limit: int | None = None, top_x: int
             rare = counts.where(~F.col("_k").isin(common)).select("_k", F.lit(True).alias("_rare"))
         value = rare_val
         if value is None:
-            value = -1 if c.startswith("n_") else df.agg(F.max(c)).first()[0] + 1 if c.startswith("i_") else "rare"
+            largest = df.agg(F.max(c)).first()[0] if c.startswith("i_") else None
+            value = -1 if c.startswith("n_") else "rare" if not c.startswith("i_") else 0 if largest is None else largest + 1
         df = _lookup(df, c, rare).withColumn(c, F.when(F.col("_rare"), F.lit(value)).otherwise(F.col(c))).drop("_rare")
     return df
 
@@ -152,8 +165,8 @@ def categorical_outliers(df: DataFrame, columns=None, min_size: float = 0.01, fi
     """Values of at most `min_size` rows (a share of all, if a fraction) become the mode, or the constant given."""
     names = columns or roles.categorical_like(df)
     least = df.count() * min_size if isinstance(min_size, float) else min_size
-    row = df.agg(*[F.mode(c, True) for c in names]).first()
-    for c, mode in zip(names, row):
+    for c in names:
+        mode = stats.overall(df, F.col(c), ["mode"])["mode"] if fill_mode == "mode" else None
         rare = _counts(df, c).where(F.col("_n") <= F.lit(least)).select("_k", F.lit(True).alias("_rare"))
         df = _lookup(df, c, rare).withColumn(c, F.when(F.col("_rare"), F.lit(mode if fill_mode == "mode" else fill_mode)).otherwise(F.col(c))).drop("_rare")
     return df
@@ -172,11 +185,14 @@ def bin_index(x: Column, low: Column, high: Column, n_bins: int) -> Column:
 
 
 def bin_columns(df: DataFrame, columns=None, n_bins: int = 10, drop: bool = False, labels: bool = True) -> DataFrame:
-    """c_binned_<n>: the label '(lo, hi]' of the bin, or its number."""
+    """c_binned_<n>: the label '(lo, hi]' of the bin, or its number; null where the column has no value."""
     names = columns or roles.numericals(df)
     row = df.agg(*[f(c) for c in names for f in (F.min, F.max)]).first()
     new = {}
     for i, c in enumerate(names):
+        if row[2 * i] is None:
+            new["c_binned_" + c] = F.lit(None).cast("string" if labels else "int")
+            continue
         low, high = float(row[2 * i]), float(row[2 * i + 1])
         at = bin_index(F.col(c).cast("double"), F.lit(low), F.lit(high), n_bins)
         if labels:
@@ -193,8 +209,7 @@ def to_rank(df: DataFrame, column: str, output: str = "rank", normalise: bool =
     Ranks add up over the distinct values, which are counted first; only those are sorted.
     """
     counts = _counts(df, column)
-    w = Window.orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.select("_k", (F.coalesce(F.sum("_n").over(w), F.lit(0)) + (F.col("_n") + 1) / 2).alias("_rank"))
+    ranked = running_sum(counts, "_k", F.col("_n"), "_below").select("_k", (F.col("_below") + (F.col("_n") + 1) / 2).alias("_rank"))
     if normalise:
         low, high = ranked.agg(F.min("_rank"), F.max("_rank")).first()
         ranked = ranked.withColumn("_rank", F.try_divide(F.col("_rank") - F.lit(low), F.lit(high) - F.lit(low)))

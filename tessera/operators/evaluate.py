@@ -48,16 +48,16 @@ def _class_sums(df: DataFrame, columns: list[str], y: str) -> DataFrame:
 
 def f_classification(df: DataFrame, columns: list[str], y: str) -> DataFrame:
     """(column, f_score): one-way analysis of variance over the classes."""
-    sums = _class_sums(df, columns, y).groupBy("column").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("b"), F.count("*").alias("k"))
-    between, within = F.col("b") - F.col("s") * F.col("s") / F.col("n"), F.col("q") - F.col("b")
-    return sums.select("column", F.try_divide(between / (F.col("k") - 1), within / (F.col("n") - F.col("k"))).alias("f_score"))
+    sums = _class_sums(df, columns, y).groupBy("column").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(F.try_divide(F.col("s") * F.col("s"), F.col("n"))).alias("b"), F.count("*").alias("k"))
+    between, within = F.col("b") - F.try_divide(F.col("s") * F.col("s"), F.col("n")), F.col("q") - F.col("b")
+    return sums.select("column", F.try_divide(F.try_divide(between, F.col("k") - 1), F.try_divide(within, F.col("n") - F.col("k"))).alias("f_score"))
 
 
 def chi2(df: DataFrame, columns: list[str], y: str) -> DataFrame:
     """(column, chi2): of the sums of a non-negative column by class against those that class sizes give."""
     sums = _class_sums(df, columns, y)
     total = sums.groupBy("column").agg(F.sum("n").alias("all_n"), F.sum("s").alias("all_s"))
-    both = sums.join(total, "column").withColumn("e", F.col("all_s") * F.col("n") / F.col("all_n"))
+    both = sums.join(total, "column").withColumn("e", F.try_divide(F.col("all_s") * F.col("n"), F.col("all_n")))
     return both.groupBy("column").agg(F.sum(F.try_divide((F.col("s") - F.col("e")) * (F.col("s") - F.col("e")), F.col("e"))).alias("chi2"))
 
 
@@ -66,13 +66,15 @@ def confusion(df: DataFrame, y: str, p: str) -> DataFrame:
 
 
 def reliability_curve(df: DataFrame, y: str, score: str, bins: int = 10, normalise: bool = False) -> DataFrame:
-    """(bin, mean_score, mean_truth) of bins (a, b] over 0..1; a score of 0 is in no bin."""
+    """(bin, mean_score, mean_truth, n) of all bins (a, b] over 0..1, empty ones too; a score of 0 is in no bin."""
     s = F.col(score).cast("double")
     if normalise:
         low, high = df.agg(F.min(s), F.max(s)).first()
         s = F.try_divide(s - F.lit(low), F.lit(high) - F.lit(low))
     df = df.withColumn("_s", s).withColumn("bin", F.ceil(F.col("_s") * bins).cast("int")).where(F.col("bin").between(1, bins))
-    return df.groupBy("bin").agg(F.avg("_s").alias("mean_score"), F.avg(F.col(y).cast("double")).alias("mean_truth"), F.count("*").alias("n"))
+    found = df.groupBy("bin").agg(F.avg("_s").alias("mean_score"), F.avg(F.col(y).cast("double")).alias("mean_truth"), F.count("*").alias("n"))
+    every = df.sparkSession.range(1, bins + 1).select(F.col("id").cast("int").alias("bin"))
+    return every.join(found, "bin", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
 def bland_altman(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -92,12 +94,11 @@ def mean_log_loss(df: DataFrame, p: str, y: str) -> DataFrame:
 
 
 def roc_auc(df: DataFrame, y: str, score: str) -> float:
-    """Area under the ROC curve from counts by score: only distinct scores are sorted."""
-    from pyspark.sql import Window
+    """Area under the ROC curve from counts by score: only distinct scores are sorted, bucket by bucket."""
+    from tessera.operators.order import running_sum
 
     by = df.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(y) == 1).alias("p"), F.count_if(F.col(y) == 0).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    row = by.withColumn("b", below).agg(F.sum(F.col("p") * (F.col("b") + F.col("n") / 2)), F.sum("p"), F.sum("n")).first()
+    row = running_sum(by, "s", F.col("n"), "b").agg(F.sum(F.col("p") * (F.col("b") + F.col("n") / 2)), F.sum("p"), F.sum("n")).first()
     return row[0] / (row[1] * row[2])
 
 

@@ -6,35 +6,61 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _cuts(df: DataFrame, key: str, n: int) -> list[float]:
-    found = df.select(F.col(key).cast("double").alias("k")).approxQuantile("k", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []
-    return sorted(set(found))
+#: Values that cuts of keys without quantiles are taken from, for each bucket.
+SAMPLE_EACH = 20
 
 
-def with_position(df: DataFrame, order_by: str, output: str = "_pos", buckets: int | None = None) -> DataFrame:
-    """0-based position of each row in the order of a unique key.
+def _buckets(df: DataFrame, key: str, n: int) -> Column:
+    """A number from 0 for each row that grows with the key: of n buckets of about as many rows. Null keys come first.
 
-    Numeric and time keys are cut at approximate quantiles; a row's position is the number of rows in earlier buckets
-    and its rank inside its own, so tasks hold a bucket's rows each.
+    Cuts are approximate quantiles of numbers and times, and of other keys the quantiles of a sample of at most
+    n * SAMPLE_EACH distinct values with the smallest hashes.
     """
-    spark = df.sparkSession
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    kind = df.schema[order_by].dataType.typeName()
-    key = order_by
-    if kind.startswith("timestamp") or kind == "date":
-        df, key = df.withColumn("_order_key", F.unix_micros(F.col(order_by).cast("timestamp"))), "_order_key"
-    if kind == "string":
-        at = F.lit(0)
+    kind = df.schema[key].dataType.typeName()
+    c = F.col(f"`{key}`")
+    if n <= 1:
+        return F.lit(0)
+    if kind in ("byte", "short", "integer", "long", "float", "double", "decimal", "timestamp", "timestamp_ntz", "date"):
+        c = F.unix_micros(c.cast("timestamp")) if kind in ("timestamp", "timestamp_ntz", "date") else c
+        # a rounded number would part values that it can't tell apart, so numbers are compared as doubles
+        c = c.cast("double")
+        cuts = df.select(c.alias("k")).approxQuantile("k", [i / n for i in range(1, n)], 0.2 / n)
     else:
-        cuts = _cuts(df, key, n)
-        at = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c < F.col(key).cast("double"))) if cuts else F.lit(0)
-    df = df.withColumn("_bucket", at).drop("_order_key")
-    counts = df.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_bucket").orderBy(order_by)
-    out = df.join(counts, "_bucket").withColumn(output, F.col("_before") + F.row_number().over(inside) - 1)
-    return out.drop("_bucket", "_before")
+        some = [r[0] for r in df.select(c.alias("k")).where("k is not null").distinct().orderBy(F.xxhash64("k"), "k").limit(n * SAMPLE_EACH).collect()]
+        some.sort(key=lambda v: v.encode() if isinstance(v, str) else v)
+        cuts = [some[len(some) * i // n] for i in range(1, n)] if some else []
+    cuts = list(dict.fromkeys(cuts))
+    below = F.size(F.filter(F.array(*[F.lit(x) for x in cuts]), lambda x: x < c)) if cuts else F.lit(0)
+    return F.when(c.isNull(), F.lit(-1)).otherwise(below)
+
+
+def running_sum(df: DataFrame, by: str, value: Column, output: str, order: list | None = None, buckets: int | None = None, groups: list[str] | None = None, total: str | None = None) -> DataFrame:
+    """df with the sum of `value` over all rows (of each group) before each one, in the order of `by`, then of `order`.
+
+    Rows are cut into buckets of `by`; a bucket's sum counts for those after it, so a task holds a bucket's rows of a
+    group, and the buckets' sums. Rows alike in `by` are in one bucket. `total` names the sum of the whole group.
+    """
+    n, groups = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), groups or []
+    df = df.withColumn("_rs_bucket", _buckets(df, by, n)).withColumn("_rs_add", value)
+    sums = df.groupBy(*[F.col(g).alias(f"_rs_g{i}") for i, g in enumerate(groups)], F.col("_rs_bucket").alias("_rs_edge")).agg(F.sum("_rs_add").alias("_rs_sum"))
+    whole = Window.partitionBy(*[f"_rs_g{i}" for i in range(len(groups))])
+    before = whole.orderBy("_rs_edge").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("_rs_before", F.coalesce(F.sum("_rs_sum").over(before), F.lit(0))).withColumn(total or "_rs_total", F.sum("_rs_sum").over(whole))
+    same = F.col("_rs_bucket") == F.col("_rs_edge")
+    for i, g in enumerate(groups):
+        same = same & F.col(g).eqNullSafe(F.col(f"_rs_g{i}"))
+    inside = Window.partitionBy(*groups, "_rs_bucket").orderBy(F.col(f"`{by}`"), *(order or [])).rowsBetween(Window.unboundedPreceding, -1)
+    out = df.join(sums, same).withColumn(output, F.col("_rs_before") + F.coalesce(F.sum("_rs_add").over(inside), F.lit(0)))
+    return out.drop("_rs_bucket", "_rs_edge", "_rs_sum", "_rs_before", "_rs_add", *([] if total else ["_rs_total"]), *[f"_rs_g{i}" for i in range(len(groups))])
+
+
+def with_position(df: DataFrame, order_by: str, output: str = "_pos", buckets: int | None = None) -> DataFrame:
+    """0-based position of each row in the order of a unique key of any type that can be ordered.
+
+    A row's position is the number of rows in earlier buckets of the key and its place in its own, so tasks hold a
+    bucket's rows each.
+    """
+    return running_sum(df, order_by, F.lit(1).cast("long"), output, buckets=buckets)
 
 
 def _skew(c: Column, w) -> Column:

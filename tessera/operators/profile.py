@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera import roles
+from tessera import roles, stats
 from tessera.operators import evaluate
 
 
@@ -47,8 +47,9 @@ def relation(df: DataFrame, column: str, target: str, bins: int = 30) -> DataFra
     if kinds == ["number", "number"]:
         return df.groupBy(*[histogram_bin(df, c, bins).alias(c) for c in (column, target)]).agg(F.count("*").alias("n"))
     number, by = (column, target) if kinds[0] == "number" else (target, column)
-    q = lambda p: F.percentile(number, p)
-    return df.groupBy(by).agg(F.min(number).alias("min"), q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"), F.max(number).alias("max"), F.count(number).alias("n"))
+    ends = df.groupBy(by).agg(F.min(number).alias("min"), F.max(number).alias("max"), F.count(number).alias("n"))
+    inner = stats.quantiles(df.select(F.col(by).alias("_k"), F.col(number).alias("_v")), [0.25, 0.5, 0.75], ["_k"])
+    return ends.join(inner, F.col(by).eqNullSafe(F.col("_k")), "left").select(by, "min", F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"), "max", "n")
 
 
 def histogram_bin(df: DataFrame, column: str, bins: int):
@@ -69,13 +70,14 @@ def compare_predictions(df: DataFrame, y: str, p: str) -> DataFrame:
 
 
 def importances(df: DataFrame, y: str, columns=None, rows: int = 50_000, trees: int = 50, seed: int = 0) -> DataFrame:
-    """(column, importance) by a random forest on at most `rows` rows."""
+    """(column, importance) by a random forest on at most `rows` rows, those with the smallest hashes of their values."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
 
     names = columns or [c for c in roles.numericals(df) if c != y]
-    ready = VectorAssembler(inputCols=names, outputCol="_x", handleInvalid="skip").transform(df.select(*names, F.col(y).cast("double").alias("_y")).limit(rows))
+    some = df.select(*names, F.col(y).cast("double").alias("_y")).orderBy(F.xxhash64(*names, "_y")).limit(rows)
+    ready = VectorAssembler(inputCols=names, outputCol="_x", handleInvalid="skip").transform(some)
     few = ready.agg(F.approx_count_distinct("_y")).first()[0] <= 10
     forest = (RandomForestClassifier if few else RandomForestRegressor)(featuresCol="_x", labelCol="_y", numTrees=trees, seed=seed).fit(ready)
     found = sorted(zip(names, forest.featureImportances.toArray().tolist()), key=lambda p: -p[1])
@@ -91,9 +93,34 @@ class Describe:
     def header(self) -> dict:
         return {"rows": self.df.count(), "columns": len(self.df.columns)}
 
+    def type(self) -> dict[str, str | None]:
+        """Role of each column, or of the one described."""
+        return roles.infer_roles(self.df, [self.column] if self.column else None)
+
     def summary(self) -> DataFrame:
         return column_profile(self.df, [self.column] if self.column else None)
 
+    def details(self, y: str | None = None) -> DataFrame:
+        """The profile with the role by name, the role by data, whether they differ, and scores and rank against a target.
+
+        An index is a kind of categorical here, and whole numbers in a numerical column are no mismatch.
+        """
+        names = [self.column] if self.column else self.df.columns
+        bare = self.df.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(names)])
+        found = roles.infer_roles(bare)
+        kinds = [(c, roles.role_of(self.df, c), found[f"_{i}"]) for i, c in enumerate(names)]
+        alike = {("categorical", "index"), ("numerical", "index"), ("index", "categorical"), ("numerical", "categorical"), ("categorical", "binary"), ("index", "binary"), ("numerical", "binary")}
+        rows = [(c, a, b, bool(a and b and a != b and (a, b) not in alike)) for c, a, b in kinds]
+        table = self.df.sparkSession.createDataFrame(rows, "column string, by_name string, by_data string, mismatch boolean")
+        out = self.summary().join(table, "column", "left")
+        if y is None:
+            return out
+        scores = feature_scores(self.df.where(F.col(y).isNotNull()), y, [c for c in roles.numericals(self.df) if c != y and c in names])
+        place = Window.orderBy(F.desc_nulls_last("f_regression"), "column")
+        # a row for each column of the table: as many as it has columns
+        ranked = scores.drop("variance").withColumn("rank", F.row_number().over(place))
+        return out.join(ranked, "column", "left")
+
     def target(self, y: str) -> DataFrame:
         return evaluate.value_counts(self.df, y)
 

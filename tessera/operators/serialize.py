@@ -7,10 +7,11 @@ over features; rows are joined to them, never numbered in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera import roles
+from tessera.operators.order import running_sum
 
 
 def number_text(c: Column) -> Column:
@@ -34,7 +35,8 @@ def _cells(df: DataFrame, key: str, skip_zero: bool = True) -> DataFrame:
 
 def feature_ids(cells: DataFrame, start: int = 0) -> DataFrame:
     firsts = cells.groupBy("feature").agg(F.min(F.struct("_key", "pos")).alias("_first"))
-    return firsts.select("feature", (F.row_number().over(Window.orderBy("_first")) - 1 + start).alias("id"))
+    placed = running_sum(firsts.select("feature", "_first.*"), "_key", F.lit(1), "id", ["pos"])
+    return placed.select("feature", (F.col("id") + start).alias("id"))
 
 
 def _lines(df: DataFrame, key: str, start: int) -> DataFrame:

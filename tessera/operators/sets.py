@@ -62,13 +62,29 @@ def _compare(left, right, key, same) -> bool:
 
 
 def hashcode(df: DataFrame, key: str | None = None) -> str:
-    """A fingerprint of schema and rows; with a key in the rows it depends on their order by that key."""
-    row = df.agg(F.count("*"), F.bit_xor(F.xxhash64(*df.columns)), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first()
+    """A fingerprint of schema and rows, in any order; with a key, of the rows in the order of that (unique) column."""
     import hashlib
 
+    from tessera.operators.order import with_position
+
+    ordered = df.columns
+    if key is not None:
+        df, ordered = with_position(df, key, "_place"), [*df.columns, "_place"]
+    cells = F.xxhash64(*ordered)
+    row = df.agg(F.count("*"), F.bit_xor(cells), F.sum(cells.cast("decimal(38,0)"))).first()
+    df = df.drop("_place") if key is not None else df
     return hashlib.sha1(repr((df.dtypes, tuple(row))).encode()).hexdigest()
 
 
+def is_sparse(df: DataFrame, column: str) -> bool:
+    """Whether the vectors of a column are sparse ones; a column of anything else, or of nulls, is not."""
+    if df.schema[column].dataType.typeName() != "vectorudt":
+        return False
+    kinds = F.udf(lambda v: type(v).__name__ == "SparseVector", "boolean")
+    row = df.where(F.col(column).isNotNull()).select(kinds(column)).first()
+    return bool(row and row[0])
+
+
 def nbytes(df: DataFrame) -> int:
     """Rows times the default width of their types."""
     return df.count() * sum(_width(f.dataType) for f in df.schema.fields)

@@ -47,12 +47,19 @@ def infer_roles(df: DataFrame, columns: Iterable[str] | None = None) -> dict[str
         aggs = []
         for i, f in enumerate(open_):
             c = F.col(f"`{f.name}`")
-            aggs += [F.approx_count_distinct(c, 0.01).alias(f"n{i}"), F.max(c.isNull().cast("int")).alias(f"m{i}")]
+            # least and largest say exactly whether there are no, one or two values
+            low, high = F.min(c), F.max(c)
+            aggs += [F.approx_count_distinct(c, 0.01).alias(f"n{i}"), F.max(c.isNull().cast("int")).alias(f"m{i}"), low.alias(f"l{i}"), high.alias(f"h{i}")]
             whole = F.min((c == F.floor(c)).cast("int")) if isinstance(f.dataType, _FLOATING) else F.lit(1)
             aggs.append(whole.alias(f"w{i}"))
         row = df.agg(*aggs).first()
+        # a third value would lie between the least and the largest: counted exactly where the approximate count is small
+        few = [(i, f) for i, f in enumerate(open_) if 2 <= row[f"n{i}"] <= 4]
+        more = df.agg(*[F.count_if((F.col(f"`{f.name}`") != F.lit(row[f"l{i}"])) & (F.col(f"`{f.name}`") != F.lit(row[f"h{i}"]))).alias(f"b{i}") for i, f in few]).first() if few else None
         for i, f in enumerate(open_):
-            n = row[f"n{i}"] + (row[f"m{i}"] or 0)
+            low, high = row[f"l{i}"], row[f"h{i}"]
+            exact = 0 if low is None else 1 if low == high else 2 if more is not None and f"b{i}" in more and more[f"b{i}"] == 0 else max(3, row[f"n{i}"])
+            n = exact + (row[f"m{i}"] or 0)
             if isinstance(f.dataType, T.BooleanType) or n == 2:
                 roles[f.name] = "binary"
             elif isinstance(f.dataType, _FLOATING) and row[f"w{i}"] == 0:
@@ -64,8 +71,20 @@ def infer_roles(df: DataFrame, columns: Iterable[str] | None = None) -> dict[str
     return {c: roles[c] for c in fields}
 
 
+def role_of(df: DataFrame, column: str) -> str | None:
+    """Role of a column by its prefix, else by the `role` in its metadata (see `annotate`); the data are not read."""
+    return PREFIXES.get(column[:2]) or df.schema[column].metadata.get("role")
+
+
+def annotate(df: DataFrame) -> DataFrame:
+    """df with the inferred role of every column without a prefix in its metadata, so that operators choose it by role."""
+    found = infer_roles(df)
+    named = {c: r for c, r in found.items() if r and not is_valid_name(c)}
+    return df.select(*[F.col(f"`{c}`").alias(c, metadata={**df.schema[c].metadata, "role": named[c]}) if c in named else F.col(f"`{c}`") for c in df.columns])
+
+
 def _prefixed(df: DataFrame, *roles: str) -> list[str]:
-    return [c for c in df.columns for r in [PREFIXES.get(c[:2])] if r in roles]
+    return [c for c in df.columns if role_of(df, c) in roles]
 
 
 def categoricals(df: DataFrame) -> list[str]:

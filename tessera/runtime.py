@@ -5,7 +5,7 @@ from __future__ import annotations
 import contextlib
 import logging
 import time
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 
@@ -14,12 +14,30 @@ log = logging.getLogger("tessera")
 
 @dataclass(frozen=True)
 class Config:
-    seed: int = 0
-    scoring: str | None = None
+    """Settings of cross-validation and grids: fits side by side, and whether scores are better when higher."""
+
     higher_is_better: bool = True
     parallel: int = 4
 
 
+_config = Config()
+
+
+def config() -> Config:
+    return _config
+
+
+@contextlib.contextmanager
+def configured(**changes):
+    """Other settings inside a block."""
+    global _config
+    before, _config = _config, replace(_config, **changes)
+    try:
+        yield _config
+    finally:
+        _config = before
+
+
 @contextlib.contextmanager
 def timed(name: str):
     """Log how long a block took."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import pickle
 import zipfile
 from collections.abc import Callable, Iterator
 
@@ -88,19 +89,35 @@ def read_df(spark: SparkSession, path: str, nrows: int | None = None, sheet=0, h
     return df.limit(nrows) if nrows is not None else df
 
 
-def read_or_compute(spark: SparkSession, path: str, fallback: Callable[[], DataFrame] | None = None, fail_if_missing: bool = True) -> DataFrame | None:
-    """A written table, or what `fallback` computes, written first."""
-    from pyspark.errors import AnalysisException
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        if fallback is None:
-            if fail_if_missing:
-                raise
-            return None
-        fallback().write.parquet(path)
+
+def _read_saved(spark: SparkSession, path: str) -> DataFrame:
+    if not path.endswith((".npy", ".pickle", ".pkl")):
         return spark.read.parquet(path)
+    import numpy as np
+
+    # one file of one array or object, which is read whole; unpickle only files that are trusted
+    data = io.BytesIO(bytes(spark.read.format("binaryFile").load(path).select("content").first()[0]))
+    return to_frame(spark, np.load(data, allow_pickle=False) if path.endswith(".npy") else pickle.load(data))
+
+
+def read_or_compute(spark: SparkSession, path: str, fallback: Callable[[], DataFrame] | None = None, fail_if_missing: bool = True) -> DataFrame | None:
+    """A written table, array (.npy) or pickle, or what `fallback` computes, written first as parquet.
+
+    A name without an extension is tried as it is, then with .parquet, .npy, .pickle and .pkl.
+    """
+    for end in ("",) if "." in path.rsplit("/", 1)[-1] else ("", ".parquet", ".npy", ".pickle", ".pkl"):
+        if _exists(spark, path + end):
+            return _read_saved(spark, path + end)
+    if fallback is None:
+        if fail_if_missing:
+            raise FileNotFoundError(path)
+        return None
+    fallback().write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def read_arrays(spark: SparkSession, path: str, fallback=None) -> DataFrame:

@@ -15,21 +15,15 @@ def finite(c: Column, floating: bool = True) -> Column:
 
 
 def statistic(c: Column, name: str) -> Column:
-    """The aggregate of a named statistic. `iqm` is the mid-hinge: the mean of the quartiles."""
-    if name == "mode":
-        return F.mode(c, True)
+    """The aggregate of a named statistic that needs no counts of values."""
     if name == "mean":
         return F.avg(c)
-    if name == "median":
-        return F.median(c)
     if name == "min":
         return F.min(c)
     if name == "max":
         return F.max(c)
     if name == "max+1":
         return F.max(c) + 1
-    if name == "iqm":
-        return (F.percentile(c, 0.25) + F.percentile(c, 0.75)) / 2
     raise ValueError(f"unknown statistic: {name}")
 
 
@@ -37,16 +31,82 @@ def is_floating(df: DataFrame, column: str) -> bool:
     return isinstance(df.schema[column].dataType, (T.FloatType, T.DoubleType))
 
 
+#: Statistics that need a group's values in order or counted; `iqm` is the mid-hinge, the mean of the quartiles.
+COUNTED = ("median", "iqm", "mode")
+
+
+def _counts(rows: DataFrame, groups: list[str]) -> DataFrame:
+    return rows.where(F.col("_v").isNotNull()).groupBy(*groups, "_v").agg(F.count("*").alias("_n"))
+
+
+def quantiles(rows: DataFrame, shares: list[float], groups: list[str]) -> DataFrame:
+    """(groups, q0, q1, ...): exact quantiles of `_v`, between two values by their distance.
+
+    Equal values are counted first; places are sums of counts, bucket by bucket, so no task holds a group's values.
+    """
+    from tessera.operators.order import running_sum
+
+    placed = running_sum(_counts(rows, groups), "_v", F.col("_n"), "_before", groups=groups, total="_all")
+    aggs = []
+    for i, p in enumerate(shares):
+        place = F.lit(p) * (F.col("_all") - 1)
+        for name, at in (("l", F.floor(place)), ("h", F.ceil(place))):
+            aggs.append(F.max(F.when((F.col("_before") <= at) & (at < F.col("_before") + F.col("_n")), F.col("_v").cast("double"))).alias(f"{name}{i}"))
+        aggs.append(F.max(place - F.floor(place)).alias(f"w{i}"))
+    found = placed.groupBy(*groups).agg(*aggs)
+    return found.select(*groups, *[(F.col(f"l{i}") + (F.col(f"h{i}") - F.col(f"l{i}")) * F.col(f"w{i}")).alias(f"q{i}") for i in range(len(shares))])
+
+
+def modes(rows: DataFrame, groups: list[str]) -> DataFrame:
+    """(groups, mode): the most frequent `_v`, of several the smallest."""
+    return _counts(rows, groups).groupBy(*groups).agg(F.min(F.struct((-F.col("_n")).alias("n"), "_v")).alias("_best")).select(*groups, F.col("_best._v").alias("mode"))
+
+
+def _parts(rows: DataFrame, wanted: list[str], groups: list[str]) -> list[tuple[DataFrame, dict[str, Column]]]:
+    """Tables of one row a group, and the wanted statistics that each gives."""
+    plain = [s for s in wanted if s not in COUNTED]
+    out = [(rows.groupBy(*groups).agg(F.count("*").alias("_rows"), *[statistic(F.col("_v"), s).alias(f"p{i}") for i, s in enumerate(plain)]), {s: F.col(f"p{i}") for i, s in enumerate(plain)})]
+    if {"median", "iqm"} & set(wanted):
+        out.append((quantiles(rows, [0.25, 0.5, 0.75], groups), {"median": F.col("q1"), "iqm": (F.col("q0") + F.col("q2")) / 2}))
+    if "mode" in wanted:
+        out.append((modes(rows, groups), {"mode": F.col("mode")}))
+    return out
+
+
+def grouped(df: DataFrame, key: Column, value: Column, wanted: list[str]) -> DataFrame:
+    """(_k, _s0, _s1, ...): the wanted statistics of a value for each key that is not null."""
+    (table, own), *more = _parts(df.select(key.alias("_k"), value.alias("_v")).where("_k is not null"), wanted, ["_k"])
+    for part, names in more:
+        table, own = table.join(part, "_k", "left"), own | names
+    return table.select("_k", *[own[s].alias(f"_s{i}") for i, s in enumerate(wanted)])
+
+
+def overall(df: DataFrame, value: Column, wanted: list[str]) -> dict:
+    """The wanted statistics of a value over all rows."""
+    found = {}
+    for part, names in _parts(df.select(value.alias("_v")), wanted, []):
+        row = part.select(*[c.alias(f"s{i}") for i, c in enumerate(names.values())]).first() if names else ()
+        found |= dict(zip(names, row or [None] * len(names)))
+    return {s: found[s] for s in wanted}
+
+
 def aggregates(df: DataFrame, wanted: dict[str, str]) -> dict:
-    """{column: value of its statistic}, by one job; infinities and NaN do not count."""
-    if not wanted:
-        return {}
-    aggs = [statistic(finite(F.col(f"`{c}`"), is_floating(df, c)), s).alias(f"s{i}") for i, (c, s) in enumerate(wanted.items())]
-    row = df.agg(*aggs).first()
-    return {c: row[i] for i, c in enumerate(wanted)}
+    """{column: value of its statistic}; infinities and NaN do not count.
+
+    Plain statistics of all columns are one job; a median, mid-hinge or mode is one of its own for each column.
+    """
+    values = {c: finite(F.col(f"`{c}`"), is_floating(df, c)) for c in wanted}
+    plain = [c for c, s in wanted.items() if s not in COUNTED]
+    row = df.agg(*[statistic(values[c], wanted[c]).alias(f"s{i}") for i, c in enumerate(plain)]).first() if plain else ()
+    found = dict(zip(plain, row))
+    return {c: found[c] if c in found else overall(df, values[c], [s])[s] for c, s in wanted.items()}
 
 
-def sigma_limits(df: DataFrame, column: str, sigma: float = 3) -> tuple[float, float]:
+def sigma_limits(df: DataFrame, column: str, sigma: float = 3) -> tuple[float | None, float | None]:
+    """Mean less and plus sigma deviations; of one value that value, of none (None, None)."""
     c = F.col(f"`{column}`")
     row = df.agg(F.avg(c), F.stddev_samp(c)).first()
-    return row[0] - sigma * row[1], row[0] + sigma * row[1]
+    if row[0] is None:
+        return None, None
+    spread = sigma * (row[1] or 0.0)
+    return row[0] - spread, row[0] + spread

@@ -14,6 +14,7 @@ VIEWS = {
     "v_part": "select p_partkey as rid, p_brand as c_brand, p_type as c_type, p_size as n_size, p_retailprice as n_retail from part",
     "v_events": "select event_id as rid, event_type as c_type, user_id as i_user, value as n_value, ts as d_ts from events",
     "v_docs": "select d.doc_id as rid, d.lang as c_lang, d.source as c_source, d.n_chars as n_chars, l.quality as b_quality, l.toxic as b_toxic from documents d join labels l on d.doc_id = l.doc_id",
+    "v_texts": "select doc_id as rid, lang as c_lang, source as c_source, n_chars from documents",
     "v_preds": "select d.doc_id as rid, l.quality as y, cast((d.doc_id * 37) % 101 as double) / 101.0 as p1, cast((d.doc_id * 53) % 101 as double) / 101.0 as p2, cast((d.doc_id * 71) % 101 as double) / 101.0 as p3 from documents d join labels l on d.doc_id = l.doc_id",
 }
 _TABLES = ("orders", "customer", "lineitem", "part", "events", "documents", "labels", "supplier", "nation", "region", "embeddings")

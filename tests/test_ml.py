@@ -12,7 +12,7 @@ from tessera.streaming import ftrl
 
 @pytest.fixture(scope="module")
 def line(spark):
-    return spark.range(200).select(F.col("id").alias("rid"), (F.col("id") / 10).alias("n_x"), (F.col("id") / 5 + 1 + F.rand(1) * 0.01).alias("y")).localCheckpoint()
+    return spark.range(200).select(F.col("id").alias("rid"), (F.col("id") / 10).alias("n_x"), (F.col("id") / 5 + 1 + F.rand(1) * 0.01).alias("y")).cache()
 
 
 def test_out_of_fold_covers_every_row_once(line):
@@ -76,6 +76,7 @@ def test_smote_lies_between_neighbours(spark):
     df = spark.range(60).select(F.col("id").alias("rid"), (F.col("id") % 3 == 0).cast("int").alias("y"), F.col("id").cast("double").alias("n_a"), (F.col("id") * 2.0).alias("n_b"))
     out = features.smote(df, "y", 1, "rid", ["n_a", "n_b"], 200, 2).collect()
     assert len(out) == 40 and all(abs(r["n_b"] - 2 * r["n_a"]) < 1e-6 and 0 <= r["n_a"] <= 57 for r in out)
+    assert features.smote(df, "y", 1, "rid", ["n_a", "n_b"], 50, 2).count() == 10
 
 
 def nearest_by_force(rows, few, k):

@@ -80,6 +80,7 @@ def test_indexes(spark):
     assert values(out, "i_1") == [0, 1, -1] and values(out, "i_2") == [0, 1, -1]
 
 
+#: Small inputs and the results that they must give.
 ENC = [("a", "a", 0), ("a", "a", 1), ("a", "b", 1), ("b", "b", 0), ("b", "b", 1), ("c", "c", 0)]
 
 
@@ -115,6 +116,7 @@ def test_group_rare(spark):
         encode.group_rare(df)
 
 
+#: Small inputs and the results that they must give.
 ROLLED = {
     "sum": [None, None, 35, 40, 30, 29, 48], "mean": [None, None, 11.667, 13.333, 10, 9.667, 16], "median": [None, None, 12, 13, 13, 12, 12],
     "min": [None, None, 10, 12, 2, 2, 2], "max": [None, None, 13, 15, 15, 15, 34], "std": [None, None, 1.528, 1.528, 7, 6.807, 16.371],
@@ -204,6 +206,7 @@ def test_names(spark):
     assert len(roles.column_combinations(empty, categorical=True, numerical=True)) == 15
 
 
+#: Small inputs and the results that they must give.
 VW = [(0.23, 0.25, "2006", 0), (0.18, 0.15, "1976", 1), (0.53, 0.32, "1924", 0)]
 
 
