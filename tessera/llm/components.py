@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import join_counted, materialize
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of `links`, the component being its smallest node.
 
     Alternating large-star and small-star steps on a table of links, each step written to the shared folder. A node's
-    smallest neighbour is an aggregate that is combined map-side, so a node with very many links is no hot task; the
-    joins that follow are plain equi-joins, which adaptive execution splits. Self links and repeated links are allowed.
+    smallest neighbour is an aggregate that is combined map-side, and goes to the links of nodes with very many of them
+    by broadcast, so such a node is no hot task. Self links and repeated links are allowed.
     """
     links = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
     loops = links.where("u = v").select("u")
@@ -22,9 +22,10 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     links, before = nodes, None
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n"))
+        least = materialize(least.where("n > 0"), "least-neighbours")
         # large star: neighbours above a node are linked to its smallest
-        links = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        links = join_counted(both.where("v > u"), least, "u", "n").select(F.col("v").alias("u"), F.col("m").alias("v"))
         links = materialize(links.where("u <> v").distinct(), "large-star")
         # small star: neighbours below a node are linked to the smallest of them
         least = links.groupBy("u").agg(F.min("v").alias("m"))

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, pieces, text_buffer, words_of
+from tessera.llm.common import free_prefix, materialize, pieces, plain, text_buffer, words_of
 
 WINDOW = 13
 #: Bytes of benchmark text that one matcher holds; a larger benchmark is searched shard by shard.
@@ -89,7 +89,7 @@ class Matcher:
         self.owners: dict[bytes, list] = {}
         for item, text in items:
             for w in windows_of((text or "").encode(), size):
-                self.owners.setdefault(w, []).append(item)
+                self.owners.setdefault(w, []).extend([] if item is None else [item])
         self.search = WuManber(list(self.owners))
 
     def scan(self, texts: list[bytes]):
@@ -116,47 +116,50 @@ class Matcher:
         return n_words, first, np.cumsum(edge)[:-1] > 0, items
 
 
-N_WORDS, HITS, ITEMS = "_n_words", "_hits", "_items"
+RESULTS = ("n_words", "hits", "items")
 
 
-def _scan(matcher: Matcher):
+def _scan(matcher: Matcher, names: list[str]):
+    n_words_name, hits_name, items_name = names
+
     def run(batches):
         for batch in pieces(batches, "text"):
             data, offsets = text_buffer(batch.column("text"))
             raw = data.tobytes()
             texts = [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
             n_words, first, hit, items = matcher.scan(texts)
-            flags = [np.packbits(hit[a:b]).tobytes() if found else b"" for a, b, found in zip(first[:-1], first[1:], items)]
-            before_hits, before_items = batch.column(HITS).to_pylist(), batch.column(ITEMS).to_pylist()
+            flags = [np.packbits(hit[a:b]).tobytes() if hit[a:b].any() else b"" for a, b in zip(first[:-1], first[1:])]
+            before_hits, before_items = batch.column(hits_name).to_pylist(), batch.column(items_name).to_pylist()
             for i, (old, more) in enumerate(zip(before_hits, before_items)):
                 if old:
                     flags[i] = bytes(np.frombuffer(old, np.uint8) | np.frombuffer(flags[i], np.uint8)) if flags[i] else old
                 items[i] = sorted({*map(str, items[i]), *more})
             columns = {c: batch.column(c) for c in batch.schema.names}
-            columns |= {N_WORDS: pa.array(n_words), HITS: pa.array(flags, pa.binary()), ITEMS: pa.array(items, pa.list_(pa.string()))}
+            columns |= {n_words_name: pa.array(n_words), hits_name: pa.array(flags, pa.binary()), items_name: pa.array(items, pa.list_(pa.string()))}
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return run
 
 
-def find_passages(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def find_passages(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, shard_bytes: int = SHARD_BYTES, prefix: str = "_") -> DataFrame:
     """docs with _n_words, _hits (a bit per word, empty if none) and _items (ids as sorted strings) for every row.
 
     Items are sent to the tasks in shards of about `shard_bytes` (one, if the benchmark is smaller); each further
     shard is a further pass over the documents, so memory is bounded for any benchmark. A null or empty text has no
-    words, an item without words no windows, a null item_id the name 'null'. Columns of docs named like the results
-    are replaced.
+    words, an item without words no windows; an item without an id hits words, but is not among the items. Items that
+    repeat an id are one item. Columns of docs named like the results, which begin with `prefix`, are replaced.
     """
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), "text").distinct()
+    names = [prefix + x for x in RESULTS]
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").distinct()
     shards = max(1, -(-int(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // shard_bytes))
-    keep = [c for c in docs.columns if c not in (N_WORDS, HITS, ITEMS)]
-    out = docs.select(*keep, F.lit(0).cast("long").alias(N_WORDS), F.lit(b"").alias(HITS), F.array().cast("array<string>").alias(ITEMS))
+    keep = [c for c in docs.columns if c.lower() not in {x.lower() for x in names}]
+    out = docs.select(*plain(keep), F.lit(0).cast("long").alias(names[0]), F.lit(b"").alias(names[1]), F.array().cast("array<string>").alias(names[2]))
     for shard in range(shards):
         own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == shard).collect()
         matcher = Matcher([(r["item_id"], r["text"]) for r in own], size)
         if shard:
             out = materialize(out, "passages")
-        out = out.mapInArrow(_scan(matcher), out.schema)
+        out = out.mapInArrow(_scan(matcher, names), out.schema)
     return out
 
 
@@ -164,9 +167,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and items of every document."""
     found = find_passages(docs.select("doc_id", "text"), benchmark)
     return found.select(
-        "doc_id", F.col(N_WORDS).alias("n_words"), count_bits(F.col(HITS)).alias("n_hit"),
-        F.size(ITEMS).cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", F.array_sort(ITEMS)), 256).alias("items_sha256"), F.col(ITEMS).alias("items"),
+        "doc_id", F.col("_n_words").alias("n_words"), count_bits(F.col("_hits")).alias("n_hit"),
+        F.size("_items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", F.array_sort("_items")), 256).alias("items_sha256"), F.col("_items").alias("items"),
     ).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words")))
 
 
@@ -179,9 +182,18 @@ def count_bits(column):
     return ones
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, with their own columns."""
-    found = find_passages(docs, benchmark)
-    n_hit = count_bits(F.col(HITS))
-    return found.where(~((n_hit > 0) & (n_hit * 20 >= F.col(N_WORDS)))).select(*docs.columns)
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """The documents that are not contaminated, with all their own columns.
 
+    Where texts were cut before, `sources` has the texts as they were: a document goes too if a row of its doc_id
+    there is contaminated, as a part of the passage may be what was cut. Both are searched whole; a null doc_id has no
+    source.
+    """
+    prefix = free_prefix(docs.columns)
+    found = find_passages(docs, benchmark, prefix=prefix)
+    n_hit, n_words = count_bits(F.col(prefix + "hits")), F.col(prefix + "n_words")
+    kept = found.where(~((n_hit > 0) & (n_hit * 20 >= n_words))).select(*plain(docs.columns))
+    if sources is None:
+        return kept
+    gone = materialize(contamination(sources, benchmark).where("contaminated and doc_id is not null").select("doc_id").distinct(), "contaminated")
+    return kept.join(gone, "doc_id", "left_anti").select(*plain(docs.columns))

@@ -201,7 +201,8 @@ def _first_meeting(f: np.ndarray, g: np.ndarray) -> np.ndarray:
 def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every vector; vec_id, embedding and label are read.
 
-    Vectors alike in label and every component are one vector with a number of copies. Random projections to eight
+    Vectors are divided by their largest component; those then alike in label and every component are one vector with a
+    number of copies. Random projections to eight
     dimensions are decoded to E8 points in `tables` tables; a vector is put into its own cell and the `probes` nearest
     neighbouring cells, and two vectors are compared where they meet and one is at home. A pair is counted in the
     first cell of all in which it meets, so no pairs are shuffled: a cell gives its vectors' counts and a forest. A
@@ -210,10 +211,13 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD, tab
     vector and label counts as two vectors. Vectors of different lengths do not link.
     """
     v = F.transform("embedding", lambda x: x.cast("double"))
-    sound = F.coalesce(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x), F.lit(0.0))
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("string"), v.alias("v"), sound.alias("_s"))
+    rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("string"), v.alias("v"))
+    # divided by the largest component, so that no square is too large or too small; NaN is larger than infinity
+    largest = F.when(~F.exists("v", lambda x: x.isNull()), F.array_max(F.transform("v", F.abs)))
+    rows = rows.withColumn("_s", F.coalesce(largest, F.lit(0.0)))
     usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.col("_s") > 0) & (F.col("_s") < float("inf"))
-    rows = materialize(rows.withColumn("ok", F.coalesce(usable, F.lit(False))), "vectors")
+    rows = rows.withColumn("ok", F.coalesce(usable, F.lit(False))).withColumn("v", F.when(F.col("ok"), F.transform("v", lambda x: x / F.col("_s"))))
+    rows = materialize(rows.drop("_s"), "vectors")
     good = rows.where("ok")
     classes = good.groupBy("label", "v").agg(F.min("vec_id").alias("_id"), F.count("*").alias("copies"))
     classes = materialize(classes.withColumnRenamed("_id", "vec_id"), "vector-classes")

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import mix, pieces, text_buffer
+from tessera.llm.common import free_prefix, materialize, mix, pieces, plain, text_buffer
 
 BITS = 18
 DIM = 8
@@ -115,25 +115,24 @@ def train(bags: list, labels: np.ndarray, bits: int = BITS, dim: int = DIM, epoc
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, rows: int = SAMPLE_ROWS, max_bytes: int = SAMPLE_BYTES):
     """Texts and labels of at most `rows` usable labelled documents and `max_bytes`, in the order of a hash of doc_id.
 
-    Only ids are sorted; rows without a label or an id are passed over, a document labelled twice counts once with its
-    larger label.
+    Rows without a label or an id are passed over; a document labelled twice counts once with its larger label, and of
+    rows that repeat a doc_id the smallest text counts. Neither files nor partitions have a part in the outcome.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & usable)
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("_label"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    # the ids are few, so the documents that they name come to the driver as they are, without a sort of texts
-    found = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
     # whole texts: those above a hundredth of the budget are not learned from
-    found = found.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= max_bytes // 100)
-    texts, marks, used = [], [], 0
-    for r in found.select("text", "_label").toLocalIterator():
-        text = (r["text"] or "").encode()
-        used += len(text)
-        if used > max_bytes or len(texts) >= 2 * rows:
-            break
-        texts.append(text)
-        marks.append(r["_label"])
-    return texts, np.array(marks, np.int64)
+    body = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= max_bytes // 100)
+    found = body.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("_label").alias("_label"))
+    found = materialize(found.withColumn("_at", F.xxhash64("doc_id")), "labelled-sample")
+    sizes = sorted((r["_at"], r["doc_id"], r["n"]) for r in found.select("_at", "doc_id", F.octet_length("text").alias("n")).collect())
+    within = np.cumsum([n for _, _, n in sizes]) <= max_bytes
+    if not within.any():
+        return [], np.zeros(0, np.int64)
+    last, last_id, _ = sizes[int(within.sum()) - 1]
+    chosen = found.where((F.col("_at") < last) | ((F.col("_at") == last) & (F.col("doc_id") <= last_id))).collect()
+    chosen.sort(key=lambda r: (r["_at"], r["doc_id"]))
+    return [r["text"].encode() for r in chosen], np.array([r["_label"] for r in chosen], np.int64)
 
 
 def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -142,7 +141,7 @@ def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.where(np.diff(offsets) > 0, out, 0.0)
 
 
-def _score(weights: np.ndarray, bias: float, bits: int):
+def _score(weights: np.ndarray, bias: float, bits: int, name: str = "_score"):
     def run(batches):
         for batch in pieces(batches, "text", 1 << 20):
             data, offsets = text_buffer(batch.column("text"))
@@ -152,7 +151,7 @@ def _score(weights: np.ndarray, bias: float, bits: int):
                 n += np.diff(by_doc)
             z = total / np.maximum(n, 1) + bias
             score = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-            columns = {c: batch.column(c) for c in batch.schema.names if c != "_score"} | {"_score": pa.array(score)}
+            columns = {c: batch.column(c) for c in batch.schema.names if c != name} | {name: pa.array(score)}
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return run
@@ -164,25 +163,27 @@ def fit_quality(docs: DataFrame, labels: DataFrame, usable: Column | None = None
     return train(bags(texts, bits), marks, bits) if len(marks) else None
 
 
-def score_quality(docs: DataFrame, model, bits: int = BITS) -> DataFrame:
-    """docs with `_score`, the probability of label 1 by the whole text; texts without words have the bias's score.
+def score_quality(docs: DataFrame, model, bits: int = BITS, name: str = "_score") -> DataFrame:
+    """docs with `name`, the probability of label 1 by the whole text; texts without words have the bias's score.
 
-    The model is 2^bits numbers, whatever the corpus. Without a model every score is 0.5.
+    The model is 2^bits numbers, whatever the corpus. Without a model every score is 0.5. A score depends on the text
+    alone. A column of docs named like the score is replaced, all others are kept; a null text is scored as an empty
+    one, repeated rows each have their score, no rows give no rows.
     """
     weights, bias = model or (np.zeros(1 << bits, np.float32), 0.0)
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):
-        yield from _score(shared.value, bias, bits)(batches)
+        yield from _score(shared.value, bias, bits, name)(batches)
 
-    keep = docs.select(*[c for c in docs.columns if c != "_score"], F.lit(0.0).alias("_score"))
+    keep = docs.select(*plain([c for c in docs.columns if c.lower() != name.lower()]), F.lit(0.0).alias(name))
     return keep.mapInArrow(run, keep.schema)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents whose score reaches the threshold, with their own columns; all of them where no label is usable."""
+    """The documents whose score reaches the threshold, with all their own columns; all of them where no label is usable."""
     model = fit_quality(docs, labels)
     if model is None:
         return docs
-    scored = score_quality(docs, model)
-    return scored.where(F.col("_score") >= threshold).select(*docs.columns)
+    name = free_prefix(docs.columns) + "score"
+    return score_quality(docs, model, name=name).where(F.col(name) >= threshold).select(*plain(docs.columns))

@@ -9,11 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import pieces, text_buffer
+from tessera.llm.common import pieces, plain, text_buffer
 from tessera.llm.quality import labelled_sample
 
 SAMPLE_ROWS = 12_000
-MAX_TERMS = 400
+#: Terms that one automaton holds; a larger lexicon is several automata over one alphabet.
+TERMS_EACH = 400
 FUZZY_FROM = 5
 CONTEXT = 24
 THRESHOLD = 0.7
@@ -35,7 +36,7 @@ class LexiconAutomaton:
     last state says the fewest edits to a term: 0, 1 or none. Terms shorter than `fuzzy_from` match exactly.
     """
 
-    def __init__(self, terms: list[str], edits: int = 1, fuzzy_from: int = FUZZY_FROM):
+    def __init__(self, terms: list[str], edits: int = 1, fuzzy_from: int = FUZZY_FROM, letters: list[str] | None = None):
         self.terms = sorted(terms)
         children, allowed, final = [{}], [0], [False]
         for term in self.terms:
@@ -68,7 +69,7 @@ class LexiconAutomaton:
                         todo.append((child, used + 1))
             return frozenset(state.items())
 
-        letters = sorted({c for t in self.terms for c in t})
+        letters = letters or sorted({c for t in self.terms for c in t})
         self.symbol = {c: i + 2 for i, c in enumerate(letters)}
         width = len(letters) + 2
         start = close({0: 0})
@@ -141,8 +142,27 @@ def lowered(text: str) -> str:
     return text.lower()
 
 
-def learn_terms(texts: list[str], marks: np.ndarray, max_terms: int = MAX_TERMS) -> list[str]:
-    """Words that toxic documents have far more often than others, short ones too."""
+class Lexicon:
+    """The automata of any number of terms, TERMS_EACH in each."""
+
+    def __init__(self, terms: list[str]):
+        self.terms, letters = sorted(terms), sorted({c for t in terms for c in t})
+        self.parts = [LexiconAutomaton(self.terms[i : i + TERMS_EACH], letters=letters) for i in range(0, max(1, len(terms)), TERMS_EACH)]
+        self.symbol_of, self.classes = self.parts[0].symbol_of, self.parts[0].classes
+
+    def distance(self, *words) -> np.ndarray:
+        """Fewest edits from each word to any term, 9 if more than allowed."""
+        return np.minimum.reduce([part.distance(*words) for part in self.parts])
+
+    def readings(self, *words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return tuple(np.concatenate(x) for x in zip(*(part.readings(*words) for part in self.parts)))
+
+
+def learn_terms(texts: list[str], marks: np.ndarray) -> list[str]:
+    """Words that toxic documents have far more often than others, short ones too; the most telling first.
+
+    A term is in 0.2 % of the toxic documents of the sample at least, so their number is bounded by the sample's words.
+    """
     import re
 
     split, n = re.compile(r"[^\W_]+"), [0, 0]
@@ -155,14 +175,14 @@ def learn_terms(texts: list[str], marks: np.ndarray, max_terms: int = MAX_TERMS)
         odds = (hits + 0.5) / (n[1] + 1) / ((seen[0][word] + 0.5) / (n[0] + 1))
         if hits >= max(3, 0.002 * n[1]) and odds >= 12:
             found.append((-hits * np.log(odds), word))
-    return [w for _, w in sorted(found)[:max_terms]]
+    return [w for _, w in sorted(found)]
 
 
 class Scorer:
     """Counts of exact and misspelled terms, abusive or quoted, and a logistic score of them."""
 
     def __init__(self, terms: list[str]):
-        self.automaton = LexiconAutomaton(terms)
+        self.automaton = Lexicon(terms)
         self.symbols = self.automaton.classes()
         self.weights = np.zeros(7)
 
@@ -256,20 +276,21 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column | None = Non
     return scorer.fit(texts, marks) if len(marks) else scorer
 
 
-def score_toxicity(docs: DataFrame, scorer: Scorer) -> DataFrame:
-    """docs with `_score`, the probability of label 1 by the whole text; a null text is scored as an empty one.
+def score_toxicity(docs: DataFrame, scorer: Scorer, name: str = "_score") -> DataFrame:
+    """docs with `name`, the probability of label 1 by the whole text; a null text is scored as an empty one.
 
-    What is sent to tasks is bounded by MAX_TERMS terms, whatever the corpus.
+    What is sent to tasks is bounded by the sample that the scorer learned from, whatever the corpus. A column of docs
+    named like the score is replaced, all others are kept; repeated rows each have their score, no rows give no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
 
     def run(batches):
         for batch in pieces(batches, "text", 1 << 20):
             texts = [x or "" for x in batch.column("text").to_pylist()]
-            columns = {c: batch.column(c) for c in batch.schema.names} | {"_score": pa.array(shared.value.score(texts))}
+            columns = {c: batch.column(c) for c in batch.schema.names} | {name: pa.array(shared.value.score(texts))}
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    keep = docs.select(*[c for c in docs.columns if c != "_score"], F.lit(0.0).alias("_score"))
+    keep = docs.select(*plain([c for c in docs.columns if c.lower() != name.lower()]), F.lit(0.0).alias(name))
     return keep.mapInArrow(run, keep.schema)
 
 

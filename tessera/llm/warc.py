@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import shared_path
+from tessera.llm.common import join_counted, materialize, shared_path
 
 MIN_PAYLOAD = 100
 FILE_BYTES = 16 << 20
@@ -25,14 +25,15 @@ SCHEMA = (
 def resolve_revisits(pages: DataFrame, min_payload: int = MIN_PAYLOAD) -> DataFrame:
     """Headers (page_id, payload_digest, refers_to) of the pages that repeat the payload of a smaller page_id.
 
-    Only headers are shuffled, by payload digest, counted map-side first; payloads stay where they are. Pages alike in
+    Only headers are shuffled, by payload digest, counted map-side first; a payload that very many pages have is no hot
+    task; payloads stay where they are. Pages alike in
     page_id and payload are one page here; a null page_id neither refers nor is referred to.
     """
     heads = pages.where(F.col("page_id").isNotNull() & (F.col("payload_bytes") >= min_payload))
-    heads = heads.groupBy("payload_digest", "page_id").agg(F.lit(1).alias("_one"))
+    heads = materialize(heads.select("payload_digest", "page_id").distinct(), "headers")
     firsts = heads.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("_n"))
-    firsts = firsts.where("_n > 1").drop("_n")
-    return heads.join(firsts, "payload_digest").where("page_id > refers_to").select("page_id", "payload_digest", "refers_to")
+    found = join_counted(heads, materialize(firsts.where("_n > 1"), "first-headers"), "payload_digest", "_n")
+    return found.where("page_id > refers_to").select("page_id", "payload_digest", "refers_to")
 
 
 def _record(date: str):

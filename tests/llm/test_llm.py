@@ -231,11 +231,11 @@ def test_contamination_against_brute_force(spark, shard_bytes):
     docs += [docs[0] + ". " + items[0][1].upper() + "! " + docs[1], items[1][1], items[5][1][7:200], None, "", "é à 9", "É à, 9"]
     bench = spark.createDataFrame(items, "item_id long, text string")
     found = decontaminate.find_passages(docs_of(spark, docs), bench, shard_bytes=shard_bytes)
-    rows = {r["doc_id"]: r for r in found.select("doc_id", decontaminate.N_WORDS, decontaminate.count_bits(F.col(decontaminate.HITS)).alias("n"), decontaminate.ITEMS).collect()}
+    rows = {r["doc_id"]: r for r in found.select("doc_id", "_n_words", decontaminate.count_bits(F.col("_hits")).alias("n"), "_items").collect()}
     want = brute_contamination(enumerate(docs), items)
     for i, w in want.items():
         r = rows[i]
-        assert (r[decontaminate.N_WORDS], r["n"], len(r[decontaminate.ITEMS])) == w[:3], i
+        assert (r["_n_words"], r["n"], len(r["_items"])) == w[:3], i
     digests = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in decontaminate.contamination(docs_of(spark, docs), bench).collect()}
     assert digests == want
     kept = decontaminate.drop_contaminated(docs_of(spark, docs).withColumn("_hits", F.lit(1)), bench)
