@@ -28,8 +28,12 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the benchmark's passages make up a twentieth of, or more."""
-    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+    """Drop the documents that the benchmark's passages make up a twentieth of, or more.
+
+    The stage before cuts a passage from all documents but the first that has it, so that little of it may be left
+    here; a document goes if its text in `documents`, before any cut, is contaminated, or the text that is left.
+    """
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +54,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn, each one's rows written to the shared folder and read again as the next one's."""
+    """All stages in turn, each one's rows written to the shared folder and read again as the next one's.
+
+    Null and empty texts pass the quality stage by the score of a text without words, and are never duplicates; rows
+    that repeat a doc_id are one document from the second stage on, those without a doc_id stay apart; other columns
+    keep their values up to the last stage, which returns pieces. No documents give no pieces.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = shared_path(spark, f"stage-{name}")
