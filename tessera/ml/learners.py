@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import FMClassifier, LinearSVC, LogisticRegression
-from pyspark.ml.feature import FeatureHasher
+from pyspark.ml.feature import FeatureHasher, SQLTransformer
 from pyspark.ml.regression import FMRegressor, LinearRegression
 
 
@@ -20,9 +20,14 @@ def online_linear(columns: list[str], y: str, classify: bool = True, bits: int =
 
 
 def factorisation_machine(columns: list[str], y: str, classify: bool = True, factors: int = 8, bits: int = 14, passes: int = 50, rate: float = 0.01, seed: int = 0) -> Pipeline:
-    """A hashed factorisation machine; field-aware ones are fitted as plain ones."""
+    """A hashed factorisation machine; field-aware ones are fitted as plain ones.
+
+    Numbers that are zero are left out of the features, as the fit takes no stored zeros.
+    """
     kind = FMClassifier if classify else FMRegressor
-    return Pipeline(stages=[hashed(columns, bits), kind(labelCol=y, factorSize=factors, maxIter=passes, stepSize=rate, seed=seed)])
+    some = ", ".join(f"CASE WHEN typeof(`{c}`) <> 'string' AND CAST(`{c}` AS STRING) IN ('0', '0.0', '-0.0') THEN NULL ELSE `{c}` END AS `_some_{c}`" for c in columns)
+    steps = [SQLTransformer(statement=f"SELECT *, {some} FROM __THIS__"), hashed([f"_some_{c}" for c in columns], bits)]
+    return Pipeline(stages=[*steps, kind(labelCol=y, factorSize=factors, maxIter=passes, stepSize=rate, seed=seed)])
 
 
 def linear_svm(columns: list[str], y: str, bits: int = 18, l2: float = 0.01) -> Pipeline:
