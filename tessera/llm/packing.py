@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 import zlib
 
 import numpy as np
@@ -14,7 +15,9 @@ from tessera.llm.common import materialize, text_buffer
 
 MAX_TOKENS = 2048
 ROWS_PER_BUCKET = 20_000
-CACHE_WORDS = 800_000
+#: Memory for the words that a worker keeps the ids of: about so much for each, and for each of their letters.
+CACHE_BYTES = 128 << 20
+WORD_BYTES, LETTER_BYTES = 200, 8
 #: Signs that end words and are tokens of their own after a letter or digit.
 SIGNS = frozenset(",.!?;:")
 #: The letters that byte-level tokenizers write bytes as: printable ones as they are, the others from 256 on.
@@ -91,36 +94,40 @@ def best_fit_decreasing(histogram: dict[int, int], limit: int = MAX_TOKENS) -> l
 
 
 class WordIds:
-    """Ids of texts by a tokenizer that never joins across white space and lower-cases; ids of words are kept."""
+    """Ids of texts by a tokenizer that never joins across white space and lower-cases; ids of words are kept.
 
-    def __init__(self, path: str, limit: int = CACHE_WORDS):
+    Words are kept in two generations of half of `limit` bytes each: a full younger one becomes the older one, of which
+    those words stay that come up again. Beyond `limit` there are no more than the words of one call.
+    """
+
+    def __init__(self, path: str, limit: int = CACHE_BYTES):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.kept = Tokenizer.from_file(path), limit, {"": b""}
-
-    def learn(self, words: list[str]) -> None:
-        """Keep the ids of the words; what a sign ends is put together from the word and the sign."""
-        new = set(words).difference(self.kept)
-        if len(self.kept) + len(new) > self.limit:
-            self.kept, new = {"": b""}, set(words)
-        signed = [w for w in new if w and w[-1] in SIGNS and w[:-1].isalnum()]
-        plain = new.difference(signed)
-        plain.update(w[:-1] for w in signed)
-        plain.update(w[-1] for w in signed)
-        plain.difference_update(self.kept)
+        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.kept, self.older, self.held = {"": b""}, {}, 0
+
+    def learn(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, kept from now on; what a sign ends is put together from the word and the sign."""
+        if 2 * self.held > self.limit:
+            self.older, self.kept, self.held = self.kept if self.held <= self.limit else {}, {"": b""}, 0
+        signed = [w[-1:] in SIGNS and w[:-1].isalnum() for w in words]
+        new = {w[:-1] if s else w for w, s in zip(words, signed)}.union(SIGNS).difference(self.kept)
+        self.held += WORD_BYTES * len(new) + LETTER_BYTES * sum(map(len, new))
+        known = new.intersection(self.older)
+        self.kept.update((w, self.older[w]) for w in known)
+        plain = new.difference(known)
         # a word of lower-case Latin-1 letters alone is normalised already and is one piece for the model
-        letters = [w for w in plain if w.isalpha() and w.islower() and max(w) < "\u0100"]
+        letters = [w for w in plain if w.isalpha() and w.islower() and (w.isascii() or max(w) < "\u0100")]
         model = self.tokenizer.model
         for w in letters:
-            found = model.tokenize(w.encode().decode("latin-1").translate(_LETTERS))
-            self.kept[w] = np.array([t.id for t in found], "<u4").tobytes()
+            found = model.tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(_LETTERS))
+            self.kept[w] = struct.pack(f"<{len(found)}I", *[t.id for t in found])
         plain = list(plain.difference(letters))
         for at in range(0, len(plain), 20_000):
             part = plain[at : at + 20_000]
             for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.kept[word] = np.array(found.ids, "<u4").tobytes()
-        for w in signed:
-            self.kept[w] = self.kept[w[:-1]] + self.kept[w[-1]]
+                self.kept[word] = struct.pack(f"<{len(found)}I", *found.ids)
+        return [self.kept[w[:-1]] + self.kept[w[-1]] if s else self.kept[w] for w, s in zip(words, signed)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text: every distinct word is looked up once."""
@@ -134,18 +141,9 @@ class WordIds:
         texts = ["" if i in odd else self.folded(x) for i, x in enumerate(texts)]
         split = pc.utf8_split_whitespace(pa.array(texts, pa.string()))
         coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        self.learn(words)
-        found = [self.kept[w] for w in words]
-        ids = np.frombuffer(b"".join(found), "<u4")
-        sizes = np.array([len(x) >> 2 for x in found], np.int64)
-        at = coded.indices.to_numpy()
-        each = sizes[at]
-        ends = np.cumsum(each)
-        starts = (np.cumsum(sizes) - sizes)[at]
-        flat = ids[np.repeat(starts - (ends - each), each) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes()
-        edges = 4 * np.concatenate([[0], ends])[split.offsets.to_numpy() - split.offsets[0].as_py()]
-        return [odd.get(i) or flat[a:b] for i, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist()))]
+        found = self.learn(coded.dictionary.to_pylist())
+        at, edges = coded.indices.to_numpy(), split.offsets.to_numpy() - split.offsets[0].as_py()
+        return [odd.get(i) or b"".join(map(found.__getitem__, at[a:b].tolist())) for i, (a, b) in enumerate(zip(edges[:-1], edges[1:]))]
 
     @staticmethod
     def folded(text: str) -> str:
@@ -187,6 +185,8 @@ def _tokenize(tokenizer: str, limit: int, end_id: int):
                         cut = found[start : start + 4 * limit]
                         rows.append((doc, piece, start // 4, len(cut) // 4, zlib.crc32(cut)))
                 at = stop
+            # else Arrow keeps the memory of the largest batch for the next one
+            pa.default_memory_pool().release_unused()
             if rows:
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=names)

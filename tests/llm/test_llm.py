@@ -157,6 +157,24 @@ def test_packing(spark, texts):
     assert packing.pack_documents(docs_of(spark, [])).count() == 0
 
 
+def test_kept_words_are_bounded_by_their_bytes():
+    """Texts without spaces are words of any length; what is kept of them must not grow with the corpus."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng, limit = random.Random(23), 1 << 20
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encode, tokenizer = packing.WordIds(path, limit), Tokenizer.from_file(path)
+    for _ in range(40):
+        texts = ["often, " + "".join(rng.choices("abcdefghij", k=1000)) + " and." for _ in range(50)] + ["", "often"]
+        want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        assert encode(texts) == want
+        held = sum(len(w) + len(ids) for kept in (encode.kept, getattr(encode, "older", {})) for w, ids in kept.items())
+        assert held <= limit + 5 * sum(map(len, texts))
+    # words that come up in every call outlast generations
+    assert "often" in encode.kept and "and" in encode.kept
+
+
 def test_quality_on_held_out_rows(spark):
     rng = random.Random(0)
     good = [sentence(rng, 60).capitalize() + "." for _ in range(150)]
