@@ -116,6 +116,60 @@ def test_quantiles_and_modes_by_counts(spark):
     assert np.isclose(box[None]["median"], np.median([x for g, x in rows if g == "b" and x is not None])) and box["none"]["n"] == 0
 
 
+def shuffled_rows(spark) -> int:
+    """Rows that all stages so far have written to shuffles."""
+    jvm, none = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, none, jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_quantiles_of_few_groups_shuffle_few_values(spark):
+    n = 60_000
+    df = spark.range(n).select("id", (F.col("id") % 3).cast("string").alias("c_k"), ((F.col("id") * 7919) % n).cast("double").alias("n_y"))
+    before = shuffled_rows(spark)
+    row = encode.cats_to_stat(df, "n_y", "all").where("id = 0").first()
+    assert shuffled_rows(spark) - before < n / 2
+    v = [i * 7919 % n for i in range(0, n, 3)]
+    lo, mid, hi = np.quantile(v, [0.25, 0.5, 0.75])
+    assert np.allclose([row[f"n_c_k_{s}"] for s in encode.ALL_STATS], [np.mean(v), (lo + hi) / 2, mid, min(v), max(v)])
+
+
+@pytest.mark.parametrize("few", [1, 1_000])
+def test_quantiles_by_spans_of_few_and_many_groups(spark, monkeypatch, few):
+    monkeypatch.setattr(stats, "FEW_GROUPS", few)
+    rng = random.Random(4)
+    odd = [0.0, -0.0, 7.0, 7.0, 7.0, float("inf"), -float("inf")]
+    rows = [(rng.choice(["a", "b", None, str(rng.randrange(50))]), rng.choice([None, rng.choice(odd), rng.gauss(0, 1e9), float(rng.randrange(-5, 5))])) for _ in range(4_000)]
+    df = spark.createDataFrame(rows, "_k string, _v double").repartition(7)
+    shares = [0.0, 0.1, 0.5, 1.0]
+    found = {r["_k"]: r for r in stats.quantiles(df, shares, ["_k"]).collect()}
+    groups = {}
+    for k, v in rows:
+        if v is not None:
+            groups.setdefault(k, []).append(v)
+    assert set(found) == set(groups)
+    for k, v in groups.items():
+        v = sorted(v)
+        for i, p in enumerate(shares):
+            a, b = v[int(np.floor(p * (len(v) - 1)))], v[int(np.ceil(p * (len(v) - 1)))]
+            want = a + (b - a) * (p * (len(v) - 1) % 1) if np.isfinite([a, b]).all() else float("nan")
+            assert np.isclose(found[k][f"q{i}"], want) or np.isnan([found[k][f"q{i}"], want]).all()
+    flat = df.where("_v > -5e9 and _v < 5e9")
+    whole = stats.quantiles(flat, [0.5], []).first()
+    assert np.isclose(whole["q0"], np.median([v for _, v in rows if v is not None and abs(v) < 5e9]))
+    assert stats.quantiles(df.limit(0), [0.5], ["_k"]).count() == 0
+
+
+def test_numbers_alike_are_in_one_bucket(spark):
+    values = [0.0, -0.0, 1.0, 2.0, float("nan"), float("inf"), -float("inf"), None] * 5
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(values)], "id int, k double")
+    found = {r["id"]: r["s"] for r in order.running_sum(df, "k", F.lit(1), "s", ["id"], buckets=6).collect()}
+    rank = {None: 0, -float("inf"): 1, 0.0: 2, 1.0: 3, 2.0: 4, float("inf"): 5}
+    placed = sorted(range(len(values)), key=lambda i: (rank.get(values[i], 6), i))
+    assert [found[i] for i in placed] == list(range(len(values)))
+
+
 def test_columns_without_values(spark):
     df = spark.createDataFrame([(1, None, None, None), (2, None, None, None)], "rid long, n_x double, i_k int, c_v string")
     assert [r["c_binned_n_x"] for r in encode.bin_columns(df, ["n_x"]).collect()] == [None, None]
